@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import packing, pii, secrets
+from sheaf.llm import fingerprints, packing, pii, secrets
 from sheaf.session import table
 
 
@@ -22,8 +22,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scans": op2_secret_scans, "op5_packing": op5_packing, "op7_pii": op7_pii}
+    return {"op2_secret_scans": op2_secret_scans, "op5_packing": op5_packing, "op7_pii": op7_pii, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import fingerprints, packing, pii, secrets
+from sheaf.llm import fingerprints, lines, mixing, packing, pii, secrets
 from sheaf.session import table
 
 
@@ -14,6 +14,15 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(mixing.sized(table(spark, sf_dir, "documents")))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,7 +36,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scans": op2_secret_scans, "op5_packing": op5_packing, "op7_pii": op7_pii, "op10_fingerprints": op10_fingerprints}
+    return {"op2_secret_scans": op2_secret_scans, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op5_packing": op5_packing, "op7_pii": op7_pii, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import fingerprints, lines, mixing, packing, pii, secrets
+from sheaf.llm import fingerprints, lines, mixing, packing, pii, quality, secrets
 from sheaf.session import table
 
 
@@ -31,12 +31,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scans": op2_secret_scans, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op5_packing": op5_packing, "op7_pii": op7_pii, "op10_fingerprints": op10_fingerprints}
+    return {"op2_secret_scans": op2_secret_scans, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op5_packing": op5_packing, "op7_pii": op7_pii, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import fingerprints, lines, mixing, packing, pii, quality, search, secrets, toxicity
+from sheaf.llm import fingerprints, lines, mixing, neardup, packing, pii, quality, search, secrets, toxicity
 from sheaf.session import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scans": op2_secret_scans, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op5_packing": op5_packing, "op6_top_k": op6_top_k, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_fingerprints": op10_fingerprints}
+    return {
+        "op1_near_dedup": op1_near_dedup,
+        "op2_secret_scans": op2_secret_scans,
+        "op3_mixing": op3_mixing,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_packing": op5_packing,
+        "op6_top_k": op6_top_k,
+        "op7_pii": op7_pii,
+        "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
+        "op10_fingerprints": op10_fingerprints,
+    }
 
 
 #: Ten best integer inner products of each query; ties to the smaller vec_id.

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from sheaf.plans.registry import QUERIES, SQL, Query
 
+MODULES = ("reports", "scans")
+FLAGSHIP = "feature_report"
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+for _module in MODULES:
+    import_module(f"sheaf.plans.{_module}")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -11,9 +11,9 @@ from sheaf.plans.registry import query
 from sheaf.session import table
 
 
-@query("mask_filter", "SELECT p_partkey, p_name FROM part WHERE (contains(lower(p_name), '1') OR regexp_matches(lower(p_name), '^p.*0$')) AND NOT regexp_matches(lower(p_name), '^.*5.$')")
+@query("mask_filter", "SELECT p_partkey, p_name FROM part WHERE (contains(lower(p_name), 'bolt') OR regexp_matches(lower(p_name), '^r.*t$')) AND NOT regexp_matches(lower(p_name), '^.lue.*$')")
 def mask_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name").filter(search.mask(F.col("p_name"), "1; P*0 | *5?"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").filter(search.mask(F.col("p_name"), "bolt; R*t | ?lue*"))
 
 
 @query("url_mask", r"SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '^.*\.html$') OR regexp_matches(lower(url), '^http.*/[^/]*1.*$')")

@@ -20,13 +20,17 @@ def overlap_area(a: str, b: str) -> Column:
     return side("x0", "x1") * side("y0", "y1")
 
 
+def area(box: str) -> Column:
+    return (F.col(f"{box}.x1") - F.col(f"{box}.x0")) * (F.col(f"{box}.y1") - F.col(f"{box}.y0"))
+
+
 def overlapping(boxes: DataFrame, *, page: str, box: str, cell: float) -> DataFrame:
-    """Pairs (a < b) of boxes (page, box, x0, y0, x1, y1) of one page that share some area."""
+    """Pairs (a < b) of boxes (page, box, x0, y0, x1, y1) of one page that share some area, and the smaller box's area."""
     cells = _cells(boxes, cell)
     a, b = cells.alias("a"), cells.alias("b")
     same = (F.col(f"a.{page}") == F.col(f"b.{page}")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy")) & (F.col(f"a.{box}") < F.col(f"b.{box}"))
     own = (F.floor(F.greatest("a.x0", "b.x0") / cell) == F.col("a._cx")) & (F.floor(F.greatest("a.y0", "b.y0") / cell) == F.col("a._cy"))
-    met = a.join(b, same).filter(own).select(F.col(f"a.{page}").alias(page), F.col(f"a.{box}").alias("a"), F.col(f"b.{box}").alias("b"), overlap_area("a", "b").alias("area"))
+    met = a.join(b, same).filter(own).select(F.col(f"a.{page}").alias(page), F.col(f"a.{box}").alias("a"), F.col(f"b.{box}").alias("b"), overlap_area("a", "b").alias("area"), F.least(area("a"), area("b")).alias("smaller"))
     return met.filter("area > 0")
 
 

@@ -30,7 +30,7 @@ def without_repeated_empty(rows: DataFrame, text: str, keys: list[str], order: l
 def numbered_first(rows: DataFrame, item: str, keys: list[str], order: list[str], start: int = 1) -> DataFrame:
     """First occurrence of each item, numbered from ``start`` within its section."""
     one = rows.groupBy(*keys, item).agg(F.min(F.struct(*order)).alias("_at"))
-    return one.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("_at")) + (start - 1)).select(*keys, item, "number")
+    return one.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("_at", item)) + (start - 1)).select(*keys, item, "number")
 
 
 def banding(rows: DataFrame, keys: list[str], order: list[str], band: int = 1, header: bool = True, footer: bool = True) -> DataFrame:

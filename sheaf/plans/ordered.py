@@ -109,7 +109,7 @@ def join_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "note_numbers_section",
-    """SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY f)::INTEGER AS number FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber * 100000 + l_partkey) AS f FROM lineitem GROUP BY ALL)""",
+    """SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY f, l_suppkey)::INTEGER AS number FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber * 100000 + l_partkey) AS f FROM lineitem GROUP BY ALL)""",
 )
 def note_numbers_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("at"))
@@ -169,8 +169,8 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "gutter_sweep",
     """WITH i AS (SELECT l_suppkey, l_orderkey % 500 AS a, l_orderkey % 500 + l_quantity::BIGINT AS z FROM lineitem),
-e AS (SELECT l_suppkey, at, sum(d) AS d FROM (SELECT l_suppkey, a AS at, 1 AS d FROM i UNION ALL SELECT l_suppkey, z, -1 FROM i) GROUP BY ALL)
-SELECT l_suppkey, at, depth FROM (SELECT l_suppkey, at, sum(d) OVER (PARTITION BY l_suppkey ORDER BY at)::BIGINT AS depth FROM e) WHERE depth <= 5""",
+e AS (SELECT l_suppkey, p, sum(d) AS d FROM (SELECT l_suppkey, a AS p, 1 AS d FROM i UNION ALL SELECT l_suppkey, z AS p, -1 AS d FROM i) GROUP BY ALL)
+SELECT l_suppkey, p AS "at", depth FROM (SELECT l_suppkey, p, sum(d) OVER (PARTITION BY l_suppkey ORDER BY p)::BIGINT AS depth FROM e) WHERE depth <= 5""",
 )
 def gutter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places from which few intervals are open."""

@@ -28,7 +28,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM d a JOIN d c ON a.page = c.page AND a.box < c.box AND a.x0 < c.x1 AND c.x0 < a.x1 AND a.y0 < c.y1 AND c.y0 < a.y1""",
 )
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.overlapping(_boxes(spark, sf_dir), page="page", box="box", cell=25.0)
+    return geometry.overlapping(_boxes(spark, sf_dir), page="page", box="box", cell=25.0).drop("smaller")
 
 
 @query(
@@ -39,11 +39,8 @@ SELECT page, count(DISTINCT box)::BIGINT AS illegible FROM (SELECT page, a AS bo
 )
 def legibility_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes that share at least 0.3 of the smaller of two areas, per page."""
-    boxes = _boxes(spark, sf_dir)
-    size = boxes.select("page", "box", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("size"))
-    pairs = geometry.overlapping(boxes, page="page", box="box", cell=25.0)
-    pairs = pairs.join(size.select("page", F.col("box").alias("a"), F.col("size").alias("sa")), ["page", "a"]).join(size.select("page", F.col("box").alias("b"), F.col("size").alias("sb")), ["page", "b"])
-    bad = pairs.filter(F.col("area") >= 0.3 * F.least("sa", "sb"))
+    pairs = geometry.overlapping(_boxes(spark, sf_dir), page="page", box="box", cell=25.0)
+    bad = pairs.filter(F.col("area") >= 0.3 * F.col("smaller"))
     both = bad.select("page", F.explode(F.array("a", "b")).alias("box"))
     return both.groupBy("page").agg(F.count_distinct("box").alias("illegible"))
 

@@ -56,7 +56,7 @@ def human_size(n: Column) -> Column:
 
 def grouped(n: Column) -> Column:
     """Thin spaces between thousands."""
-    return F.reverse(F.regexp_replace(F.reverse(n.cast("string")), "([0-9]{3})(?=[0-9])", "$1 "))
+    return F.reverse(F.regexp_replace(F.reverse(n.cast("string")), "([0-9]{3})(?=[0-9])", "$1\u2009"))
 
 
 def nice_step(raw: Column) -> Column:

@@ -26,7 +26,7 @@ def digit_runs(text: Column) -> Column:
 def cleaned(text: Column) -> Column:
     """One paragraph tidied: no soft hyphens or zero-width marks, no trailing blanks, two or more leading
     spaces as a tab, no space before closing punctuation, single spaces after the prefix."""
-    plain = F.translate(text, "­​﻿", "")
+    plain = F.translate(text, "\u00ad\u200b\ufeff", "")
     plain = F.regexp_replace(plain, "[ \t]+$", "")
     plain = F.regexp_replace(plain, "^ {2,}", "\t")
     plain = F.regexp_replace(plain, r" +([,.;:!?)\]])", "$1")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", app: str = "sheaf") -> SparkSession:
+def local_session(cores: str = "8", app: str = "sheaf", conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -18,6 +18,7 @@ def local_session(cores: str = "8", app: str = "sheaf") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SHEAF_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config(map=conf or {})
         .getOrCreate()
     )
 

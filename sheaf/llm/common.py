@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; set only where the cluster names none (tests)."""
+    """The shared folder for cut lineage; our own only where the session names none (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        import tempfile
+        if not _OWN:
+            import tempfile
 
-        found = "file://" + tempfile.mkdtemp(prefix="sheaf-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="sheaf-checkpoint-"))
+        found = _OWN[0]
     return found.rstrip("/")
 
 

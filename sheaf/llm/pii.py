@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.functions.spans import described, find, joined, let
 from sheaf.llm.common import text_or_empty
-from sheaf.llm.spans import described, find, joined, let
 
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {

@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.functions.spans import NO_SPANS, find
 from sheaf.llm.common import text_or_empty
-from sheaf.llm.spans import NO_SPANS, find
 
 #: rule -> (version, pattern).  A rule whose pattern changes gets another version.
 RULES = {

@@ -113,3 +113,30 @@ def test_empty_inputs(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
     with pytest.raises(ValueError):
         search.capped(spark.range(5), 4)
+
+
+def test_document_operators(spark):
+    from sheaf.functions import spans
+    from sheaf.operators import documents
+
+    a, b = "the quick brown fox jumps".split(), "a quick red fox jumps over".split()
+    assert documents.aligned(a, b) == [(1, 1), (3, 3), (4, 4)]
+    assert documents.aligned([], b) == [] and documents.aligned(a, a) == [(i, i) for i in range(5)]
+    assert documents.rising([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
+    found = value(spark, documents.edits(F.col("w"), "ab"), w="ab")
+    assert found[0] == "ba" and "ab" not in found and {"b", "a", "aab", "abb", "bb", "aa"} <= set(found)
+    assert value(spark, documents.edits(F.col("w"), "ab"), w="") == ["a", "b"]
+    places = value(spark, spans.find(F.col("t"), "[0-9]+"), t="é1 22 333" + " 4" * 500)
+    assert [(s.start, s.end) for s in places[:3]] == [(1, 2), (3, 5), (6, 9)] and len(places) == 503 and places[-1].end == 9 + 1000
+    words = spark.createDataFrame([("thw",)], "word string")
+    known = spark.createDataFrame([("the",), ("thaw",), ("zzz",)], "word string")
+    assert [r.suggestion for r in documents.suggestions(words, known).orderBy("place").collect()] == ["the", "thaw"]
+
+
+def test_diff_of_empty_sides(spark):
+    from sheaf.operators import documents
+
+    left = spark.createDataFrame([(1, 0, "x"), (2, 0, "y")], "k long, o long, t string")
+    right = spark.createDataFrame([(1, 0, "x"), (3, 0, "z")], "k long, o long, t string")
+    got = sorted(tuple(r) for r in documents.story_diff(left, right, "k", "o", "t").select("k", "change").collect())
+    assert got == [(2, "removed"), (3, "added")]

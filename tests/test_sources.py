@@ -86,3 +86,66 @@ def test_changed_rows(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, body string")
     seen = rows.filter("id < 3").withColumn("digest", F.sha2(F.when(F.col("id") == 2, "old").otherwise(F.col("body")), 256))
     assert sorted(r.id for r in reports.changed(rows, seen, "id", "body").collect()) == [2, 3]
+
+
+def rows_of(spark, content, parse, columns):
+    from sheaf.sources import formats
+
+    files = spark.createDataFrame([("f", bytearray(content))], "path string, content binary")
+    return [tuple(r)[1:] for r in formats.each(files, parse, columns).collect()]
+
+
+def test_xml_events(spark):
+    from sheaf.sources import formats as f
+
+    got = rows_of(spark, b'<a xmlns="u" k="1">x<b/>\n</a>', f.xml_events, f.XML_EVENTS)
+    assert [(r[2], r[3], r[1]) for r in got] == [("start", "{u}a", 1), ("text", None, 1), ("start", "{u}b", 2), ("end", "{u}b", 2), ("text", None, 1), ("end", "{u}a", 1)]
+    assert got[0][4] == {"k": "1"} and got[-1][6] == 2
+    with pytest.raises(Exception, match="document type"):
+        f.xml_events(b"<!DOCTYPE a><a/>")
+
+
+def test_chart_points(spark):
+    from sheaf.sources import formats as f
+
+    xml = b"<c><ser><tx><pt idx='0'><v>S</v></pt></tx><cat><pt idx='0'><v>a</v></pt><pt idx='2'><v>c</v></pt></cat><val><pt idx='0'><v>1.5</v></pt><pt idx='1'><v>x</v></pt></val></ser></c>"
+    assert rows_of(spark, xml, f.chart_points, f.CHART_POINTS) == [(0, "S", 0, "a", 1.5), (0, "S", 1, None, None), (0, "S", 2, "c", None)]
+
+
+def test_rtf(spark):
+    from sheaf.sources import formats as f
+
+    rtf = rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}Caf\'e9\tab a\{b\}\par {\b bold} \u8364?5\par}"
+    assert rows_of(spark, rtf, f.rtf_paragraphs, f.RTF_PARAGRAPHS) == [(0, "Caf\u00e9\ta{b}"), (1, "bold \u20ac5")]
+    with pytest.raises(ValueError):
+        f.rtf_paragraphs(b"plain")
+
+
+def test_headers_and_archives(spark):
+    import struct
+    import tarfile
+
+    from sheaf.sources import formats as f
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 7, 9)
+    assert rows_of(spark, png, f.image_size, f.IMAGE_SIZE) == [("png", 7, 9)]
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 5, 6) + b"\0" * 9
+    assert rows_of(spark, jpeg, f.image_size, f.IMAGE_SIZE) == [("jpeg", 6, 5)]
+    assert f.image_size(b"") == []
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        info = tarfile.TarInfo("d/x.txt")
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"abc"))
+    assert [r[:3] for r in rows_of(spark, out.getvalue(), f.tar_members, f.TAR_MEMBERS)] == [("d/x.txt", False, 3)]
+
+
+def test_lock_and_marks(spark):
+    from sheaf.sources import formats as f
+
+    lock = b'schema = 1\n[[doc]]\nid = "a"\npath = "a.docx"\nbytes = 5\ntiers = ["t1"]\n'
+    assert rows_of(spark, lock, f.corpus_lock, f.CORPUS_LOCK) == [("a", "a.docx", None, 5, None, None, ["t1"], [])]
+    with pytest.raises(ValueError):
+        f.corpus_lock(b"schema = 2")
+    tex = rb"\section{One} % \label{no}" + b"\n" + rb"\label{s:1} see \ref{s:1}"
+    assert rows_of(spark, tex, f.latex_marks, f.LATEX_MARKS) == [(0, "section", "One"), (1, "label", "s:1"), (2, "ref", "s:1")]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.spans import NO_SPANS, find
-from sheaf.llm.common import text_or_empty
+from sheaf.llm.common import stored, text_or_empty
 
 #: rule -> (version, pattern).  A rule whose pattern changes gets another version.
 RULES = {
@@ -102,12 +102,13 @@ def digest(docs: DataFrame, *, ledger: DataFrame | None = None, id_col: str = "d
         own = F.filter("found", lambda f: f["rule_version"] == rule_version(rule))
         return F.aggregate(own, F.lit(0).cast("long"), lambda acc, f: acc + F.size(f["spans"]))
 
-    told = found.select(
+    told = found.select(  # written out, so that the join below has a plain table on either side and hot blobs can be split
         "blob",
         *[count(r).alias(f"n_{r}") for r in BASE],
         F.sha2(_in_order(F.col("found"), BASE), 256).alias("base_sha256"),
         _in_order(F.col("found"), tuple(RULES)).alias("spans"),
     )
+    told = stored(told, "findings")
     return versions.select("doc_id", "blob").join(told, "blob", "left").select(
         "doc_id",
         *[F.coalesce(f"n_{r}", F.lit(0).cast("long")).alias(f"n_{r}") for r in BASE],

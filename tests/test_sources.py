@@ -149,3 +149,18 @@ def test_lock_and_marks(spark):
         f.corpus_lock(b"schema = 2")
     tex = rb"\section{One} % \label{no}" + b"\n" + rb"\label{s:1} see \ref{s:1}"
     assert rows_of(spark, tex, f.latex_marks, f.LATEX_MARKS) == [(0, "section", "One"), (1, "label", "s:1"), (2, "ref", "s:1")]
+
+
+def test_sinks(spark, tmp_path):
+    from sheaf.sources import sinks
+
+    rels = spark.createDataFrame([("p", "r2", "t", 'a"b', True), ("p", "r1", "t", "x&y", False)], "part string, rel_id string, type string, target string, external boolean")
+    xml = sinks.relationship_parts(rels, "part").first().xml
+    files = spark.createDataFrame([("f", "/_rels/.rels", bytearray(xml.encode()))], "path string, part string, content binary")
+    assert sorted((r.rel_id, r.target, r.external) for r in packages.relationships(files).collect()) == [("r1", "x&y", False), ("r2", 'a"b', True)]
+    report = spark.createDataFrame([("b", "partial", 2, None), ("a", "supported", 1, "m")], "feature string, status string, n int, message string")
+    assert [r.value for r in sinks.report_json(report, "feature").collect()][1] == '{"feature":"b","status":"partial","n":2,"message":null}'
+    assert [r.value.split() for r in sinks.report_text(report, "feature", "status", "n", "message").collect()] == [["a", "supported", "1", "m"], ["b", "partial", "2"]]
+    assert '"output_bytes":1' in sinks.sidecars(spark.createDataFrame([("f", "a", "b")], "path string, x string, y string"), "x", "y").first().sidecar
+    sinks.qa_tables(report, f"file://{tmp_path}/qa", "feature")
+    assert spark.read.json(f"file://{tmp_path}/qa/results.json").count() == 2

@@ -208,3 +208,28 @@ def story_diff(left: DataFrame, right: DataFrame, key: str, order: str, text: st
 def folded(text: pd.Series) -> pd.Series:
     """Compatibility form, without case."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def from_template(template: str, values: dict[str, Column], counter: Column, stem: Column) -> Column:
+    """``{name}`` and the like by their values, ``{n:4}`` as a padded number; others stay, an empty result is the stem."""
+    import re
+
+    parts = []
+    for text, key, width in re.findall(r"([^{]+|\{(?![a-z]+(?::[0-9]+)?\}))|\{([a-z]+)(?::([0-9]+))?\}", template):
+        if text:
+            parts.append(F.lit(text))
+        elif key == "n":
+            number = counter.cast("string")
+            parts.append(F.when(F.length(number) < int(width or 1), F.lpad(number, int(width or 1), "0")).otherwise(number))
+        else:
+            parts.append(F.coalesce(values[key].cast("string"), F.lit("")) if key in values and not width else F.lit("{" + key + (f":{width}" if width else "") + "}"))
+    said = F.concat(*parts) if parts else F.lit("")
+    return F.when(F.trim(said) == "", stem).otherwise(said)
+
+
+def affixed(stems: DataFrame, rules: DataFrame, stem: str) -> DataFrame:
+    """stem, form: every stem with each suffix rule (strip, add, condition as a pattern of the stem's end) that fits; the stem too."""
+    fits = F.col(stem).endswith(F.col("strip")) & F.regexp_like(stem, F.concat(F.col("condition"), F.lit("$")))
+    form = F.concat(F.substring(stem, F.lit(1), F.length(stem) - F.length("strip")), F.col("add"))
+    made = stems.select(stem).join(F.broadcast(rules), fits).select(stem, form.alias("form"))  # rules of a language are a short list
+    return made.union(stems.select(stem, F.col(stem).alias("form"))).distinct()

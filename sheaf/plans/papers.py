@@ -201,3 +201,39 @@ def conformance_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     strict = F.col("kind") == "Strict"
     opens = F.when(F.col("mode") == "strict", strict).when(F.col("normalizer"), True).when(F.col("mode") == "normalize", strict).otherwise(F.col("kind").isin("Strict", "Unknown"))
     return every.withColumn("opens", opens)
+
+
+@query(
+    "name_templates",
+    "SELECT p_partkey, p_brand || '_' || lpad(p_size::VARCHAR, 4, '0') || '_{unknown}' AS target FROM part",
+)
+def name_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = documents.from_template("{folder}_{n:4}_{unknown}", {"folder": F.col("p_brand")}, F.col("p_size"), F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", target.alias("target"))
+
+
+_ONE_WORD = "(SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)"
+
+
+@query(
+    "affix_forms",
+    f"SELECT w, w AS form FROM {_ONE_WORD} UNION SELECT w, w || 's' FROM {_ONE_WORD} WHERE regexp_matches(w, '[^s]$') UNION SELECT w, left(w, -1) || 'ing' FROM {_ONE_WORD} WHERE regexp_matches(w, 'e$') UNION SELECT w, w || 'ing' FROM {_ONE_WORD} WHERE regexp_matches(w, '[^e]$')",
+)
+def affix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    rules = spark.createDataFrame([("", "s", "[^s]"), ("e", "ing", "e"), ("", "ing", "[^e]")], "strip string, add string, condition string")
+    return documents.affixed(words, rules, "w")
+
+
+@query(
+    "outline_targets",
+    """SELECT event_id, CASE WHEN t < 1 OR t > 1000 THEN NULL ELSE t END::BIGINT AS page FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 1200 WHEN 1 THEN user_id + 7 ELSE event_id % 50 END AS t FROM events)""",
+)
+def outline_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``#page=N``, an offset from the current page, or a bare number; beyond 1000 pages nothing."""
+    k = F.col("event_id") % 3
+    said = F.when(k == 0, F.format_string("#page=%d", F.col("event_id") % 1200)).when(k == 1, "#+7").otherwise(F.format_string("#%d", F.col("event_id") % 50))
+    number = lambda p: F.regexp_extract("said", p, 1).try_cast("long")
+    target = F.coalesce(number(r"^#page=([0-9]+)$"), F.col("user_id") + number(r"^#([+-][0-9]+)$"), number(r"^#([0-9]+)$"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", said.alias("said")).select("event_id", target.alias("t"))
+    return rows.select("event_id", F.when(F.col("t").between(1, 1000), F.col("t")).alias("page"))

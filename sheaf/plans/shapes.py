@@ -57,3 +57,28 @@ def crossing_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = rows.filter("l_linenumber = 1").select(page, F.col("l_orderkey").alias("h"), y.alias("y"), x.alias("x0"), (x + 10).alias("x1"))
     v = rows.filter("l_linenumber = 2").select(page, F.col("l_orderkey").alias("v"), x.alias("x"), y.alias("y0"), (y + 15).alias("y1"))
     return geometry.crossing(h, v, page="page", cell=20.0, tolerance=1.0)
+
+
+@query(
+    "covered_area",
+    f"""WITH {_BOXES}, d AS (SELECT page, box, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM b WHERE box % 8 = 1 GROUP BY ALL), z AS (SELECT page, x0, x1, y0, y1 FROM b WHERE box % 8 = 2)
+SELECT d.page, d.box, round(least(1, coalesce(sum(greatest(0, least(d.x1, z.x1) - greatest(d.x0, z.x0)) * greatest(0, least(d.y1, z.y1) - greatest(d.y0, z.y0))), 0) / any_value((d.x1 - d.x0) * (d.y1 - d.y0))), 9)::DOUBLE AS share
+FROM d LEFT JOIN (SELECT DISTINCT * FROM z) z ON d.page = z.page GROUP BY d.page, d.box""",
+)
+def covered_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each first line's box the second lines' boxes cover."""
+    every = _boxes(spark, sf_dir)
+    boxes = every.filter("box % 8 = 1").groupBy("page", "box").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    zones = every.filter("box % 8 = 2").select("page", "x0", "x1", "y0", "y1").distinct()
+    return geometry.covered_share(boxes, zones, page="page", box="box", cell=25.0).withColumn("share", F.round("share", 9))
+
+
+@query(
+    "column_order",
+    """SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY band, s DESC, c, o_orderkey)::INTEGER AS place FROM (
+SELECT *, sum(s) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS band FROM (SELECT o_custkey, o_orderkey, (o_orderstatus = 'P')::INTEGER AS s, o_orderkey % 2 AS c FROM orders))""",
+)
+def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending orders span; even keys are the left column."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 2).alias("c"), (F.col("o_orderstatus") == "P").alias("s"))
+    return geometry.reading_order(rows, page="o_custkey", line="o_orderkey", top="o_orderkey", column="c", spanning=F.col("s"))

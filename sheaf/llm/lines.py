@@ -54,7 +54,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
     spread = spread.filter(F.col("places") >= min_sites).select("key", estimate.alias("sites"), "first").filter(F.col("sites") >= min_sites * (1 - band))
     spread = stored(spread, "spread")
     near = spread.filter(F.col("sites") <= min_sites * (1 + band))
-    exact = lines.select("key", "site").join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.count_distinct("site").alias("exact"))
+    sites = lines.select("key", "site").distinct()  # a hot line is one row per site before it meets the keys
+    exact = sites.join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("exact"))
     sure = spread.filter(F.col("sites") > min_sites * (1 + band))
     kept = near.join(exact.filter(F.col("exact") >= min_sites).select("key"), "key", "left_semi")
     return sure.unionByName(kept).select("key", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))

@@ -47,10 +47,10 @@ def number_format(n: Column, kind: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Steps of 1024, one decimal above bytes."""
+    """Steps of 1024, one decimal above bytes; halves go to the even digit."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(SIZE_UNITS[1:], 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", n / F.lit(float(1024**k)))).otherwise(out)
+        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**k)), 1))).otherwise(out)
     return out
 
 

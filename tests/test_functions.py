@@ -36,7 +36,7 @@ def test_numerals(spark, n, roman, letters):
     assert value(spark, numbers.letters(F.col("n")), n=n) == letters
 
 
-@pytest.mark.parametrize(("n", "said"), [(0, "0 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (5 * 1024**4, "5.0 TB")])
+@pytest.mark.parametrize(("n", "said"), [(0, "0 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (255232, "249.2 KB"), (255744, "249.8 KB"), (5 * 1024**4, "5.0 TB")])
 def test_human_size(spark, n, said):
     assert value(spark, numbers.human_size(F.col("n")), n=n) == said
 

@@ -16,8 +16,8 @@ the plain Jaccard of the sets, of at least ``SIMILARITY``.  Components of the ve
 by alternating large and small stars, are the classes.
 
 Groups of any size stay distributed: aggregates are partial before the shuffle, and joins on hot
-buckets, hubs and roots have one row a key on the other side, so that skewed keys can be split.
-Each step between jobs is a table in the shared folder.
+buckets, hubs and roots have one row a key on the other side and a plain table on either, so
+that skewed keys can be split.  Each step between jobs is a table in the shared folder.
 
 Defined cases: a null text is empty; empty texts are copies of one another and near no other
 text; repeated rows are copies; a class's id is its least doc_id (null if all are null); an
@@ -42,6 +42,7 @@ BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 ESTIMATE = 0.6  # share of agreeing slots that a pair needs to be verified: over five standard errors below 0.8
 ALL_PAIRS = 8
+CHUNK = 1 << 20  # bytes of text whose shingles are made at once
 BROADCAST_NODES = 1_000_000  # node ids that are sent to all tasks; beyond, a join
 
 _U = np.uint64
@@ -153,7 +154,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) -> (node, bands, agree): band keys, and one byte of each slot."""
     for batch in batches:
-        for i, j, data, starts, ends in chunks(batch.column(1)):
+        for i, j, data, starts, ends in chunks(batch.column(1), CHUNK):
             doc, element = shingles(data, starts, ends)
             kept = signatures(doc, element, j - i)
             full = np.bincount(doc, minlength=j - i) > 0
@@ -168,7 +169,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) -> (node, elements): the sorted 32-bit hashes of all shingles."""
     for batch in batches:
-        for i, j, data, starts, ends in chunks(batch.column(1)):
+        for i, j, data, starts, ends in chunks(batch.column(1), CHUNK):
             doc, element = shingles(data, starts, ends)
             element = (element >> _U(32)).astype(np.uint32)
             order = np.lexsort((element, doc))
@@ -205,7 +206,7 @@ def proposals(signed: DataFrame) -> DataFrame:
     buckets = stored(buckets, "buckets")
     in_one = members.join(buckets, "band")
     large = in_one.filter(F.col("many") > ALL_PAIRS).select("node", F.explode(F.array("hub", "other")).alias("to"))
-    small = in_one.filter(F.col("many") <= ALL_PAIRS).groupBy("band").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    small = in_one.filter(F.col("many") <= ALL_PAIRS).repartition("band").groupBy("band").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     firsts = small.select(F.posexplode("nodes").alias("at", "node"), "nodes")
     paired = firsts.select("node", F.explode(F.slice("nodes", F.col("at") + 2, F.lit(ALL_PAIRS))).alias("to"))
     pairs = large.unionByName(paired).filter("node <> to")
@@ -235,10 +236,10 @@ def components(pairs: DataFrame) -> DataFrame:
     edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stored(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         small = stored(small.filter("u <> v").distinct(), "small")
         # done once every node points at one root and no root points on
@@ -255,7 +256,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     roots = stored(components(links(rows)), "roots")
     texts = stored(rows.groupBy("node").agg(F.min("doc_id").alias("copy_of")), "texts")
     in_class = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = in_class.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    heads = stored(in_class.groupBy("root").agg(F.min("copy_of").alias("class_id")), "heads")
     told = in_class.join(heads, "root").select("node", "copy_of", "class_id")
     return rows.select("doc_id", "node").join(told, "node").select("doc_id", "node", "copy_of", "class_id")
 

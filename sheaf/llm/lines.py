@@ -67,11 +67,11 @@ def dedup(docs: DataFrame, *, min_sites: int = MIN_SITES, min_chars: int = MIN_C
     bad = stored(boilerplate(lines, min_sites), "boilerplate")
     first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("at") == F.col("first_at"))
     out = lines.join(bad, "key").filter(~first).groupBy("doc", "text_key").agg(F.collect_set("at").alias("drop"))
-    out = out.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop"))
-    meets = F.col(id_col).eqNullSafe(F.col("_doc")) & (_text_key(text_col) == F.col("_key"))
+    out = out.select(F.col("doc").alias("_sheaf_doc"), F.col("text_key").alias("_sheaf_key"), F.col("drop").alias("_sheaf_drop"))
+    meets = F.col(id_col).eqNullSafe(F.col("_sheaf_doc")) & (_text_key(text_col) == F.col("_sheaf_key"))
     both = docs.join(out.hint("shuffle_hash"), meets, "left")
     parts = F.split(F.col(text_col).cast("string"), "\n")
-    drop = F.coalesce("_drop", F.array().cast("array<int>"))
+    drop = F.coalesce("_sheaf_drop", F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)
     text = F.when(F.size(drop) == 0, F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]

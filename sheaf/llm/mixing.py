@@ -26,7 +26,7 @@ import random
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import stored, text_or_empty
@@ -178,15 +178,16 @@ def mix(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 
 
 def mixed_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; other columns unchanged."""
-    from pyspark.sql import Window
-
-    key = F.xxhash64(F.lit(0) if text_col not in docs.columns else text_or_empty(text_col))
-    same = Window.partitionBy("doc_id", "_text").orderBy("size")
-    marked = sized(docs, extra=(key.alias("_text"),)).withColumn("_turn", F.row_number().over(same))
-    taken = mix(marked).filter("copies > 0").select(F.col("doc_id").alias("_doc"), "_text", "_turn", "copies")
-    rows = docs.withColumn("_hash", key)
-    again = Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0))
-    rows = rows.withColumn("_nth", F.row_number().over(again))
-    both = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")) & (F.col("_nth") == F.col("_turn")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """``docs`` with each row repeated as often as the mix takes it; other columns unchanged.
+
+    Rows of one id and text share what the mix takes of them as evenly as whole copies allow.
+    """
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_sheaf_id")
+    key = F.xxhash64(text_or_empty(text_col)).alias("_sheaf_text")
+    same = ["_sheaf_id", "_sheaf_text"]
+    taken = mix(sized(docs, extra=(key, known))).groupBy(*same).agg(F.sum("copies").alias("_sheaf_copies"), F.count(F.lit(1)).alias("_sheaf_rows")).filter("_sheaf_copies > 0")
+    rows = docs.select("*", known, key).join(taken, same)
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    own = F.floor(F.col("_sheaf_copies") / F.col("_sheaf_rows")) + (F.col("_sheaf_nth") <= F.col("_sheaf_copies") % F.col("_sheaf_rows")).cast("int")
+    rows = rows.withColumn("_sheaf_nth", nth).withColumn("_sheaf_own", own.cast("int")).filter("_sheaf_own > 0")
+    return rows.withColumn("_sheaf_copy", F.explode(F.sequence(F.lit(1), F.col("_sheaf_own")))).select(*docs.columns)

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import stored, text_or_empty
@@ -42,7 +42,6 @@ BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 ESTIMATE = 0.6  # share of agreeing slots that a pair needs to be verified: over five standard errors below 0.8
 ALL_PAIRS = 8
-CHUNK = 1 << 20  # bytes of text whose shingles are made at once
 BROADCAST_NODES = 1_000_000  # node ids that are sent to all tasks; beyond, a join
 
 _U = np.uint64
@@ -154,7 +153,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) -> (node, bands, agree): band keys, and one byte of each slot."""
     for batch in batches:
-        for i, j, data, starts, ends in chunks(batch.column(1), CHUNK):
+        for i, j, data, starts, ends in chunks(batch.column(1)):
             doc, element = shingles(data, starts, ends)
             kept = signatures(doc, element, j - i)
             full = np.bincount(doc, minlength=j - i) > 0
@@ -169,7 +168,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) -> (node, elements): the sorted 32-bit hashes of all shingles."""
     for batch in batches:
-        for i, j, data, starts, ends in chunks(batch.column(1), CHUNK):
+        for i, j, data, starts, ends in chunks(batch.column(1)):
             doc, element = shingles(data, starts, ends)
             element = (element >> _U(32)).astype(np.uint32)
             order = np.lexsort((element, doc))
@@ -261,18 +260,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("doc_id", "node").join(told, "node").select("doc_id", "node", "copy_of", "class_id")
 
 
+def _known(doc_id: Column) -> Column:
+    """An id that equals itself when null."""
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
 def first_of_each(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class (its least doc_id), one for each; columns unchanged."""
-    from pyspark.sql import Window
-
     kept = classes(docs, text_col=text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("copy_of").eqNullSafe(F.col("class_id")))
     kept = kept.groupBy("class_id", "node").count().groupBy("class_id").agg(F.min("node").alias("_node"))
-    if "class_id" in docs.columns:
-        kept = kept.withColumnRenamed("class_id", "_class")
-        name = "_class"
-    else:
-        name = "class_id"
-    rows = docs.withColumn("_text", F.xxhash64(text_or_empty(text_col)))
-    met = rows.join(kept, rows["doc_id"].eqNullSafe(kept[name]) & (rows["_text"] == kept["_node"]), "left_semi")
-    nth = Window.partitionBy("doc_id", "_text").orderBy(F.lit(0))
-    return met.withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").select(*docs.columns)
+    kept = kept.select(_known(F.col("class_id")).alias("_sheaf_id"), F.col("_node").alias("_sheaf_text"))
+    rows = docs.withColumns({"_sheaf_id": _known(F.col("doc_id")), "_sheaf_text": F.xxhash64(text_or_empty(text_col))})
+    met = rows.join(kept, ["_sheaf_id", "_sheaf_text"], "left_semi")
+    nth = Window.partitionBy("_sheaf_id", "_sheaf_text").orderBy(F.lit(0))
+    return met.withColumn("_sheaf_nth", F.row_number().over(nth)).filter("_sheaf_nth = 1").select(*docs.columns)

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import fingerprints, lines, mixing, neardup, packing, pii, quality, queries, search, secrets, toxicity
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, node int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, node int, copies int, class_id long, _id string, at int"
 
 
 def documents(spark, rows):
-    """(doc_id, text[, source]) as documents with two more columns whose names clash with ours."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "src0", len(r[1] or ""), "x", 7) for r in rows]
+    """(doc_id, text[, source]) as documents with more columns whose names clash with ours."""
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "src0", len(r[1] or ""), "x", 7, 9, 5, "i", 3) for r in rows]
     return spark.createDataFrame(full, DOCS)
 
 

@@ -33,7 +33,7 @@ from sheaf.llm.common import text_or_empty
 CAPACITY = 1024
 SEPARATOR = 0
 WINDOW = 8192  # remainders held by a task at once; at most 4 KB of ids each
-CACHE_ENTRIES = 300_000  # of space-separated chunks kept per Python worker
+CACHE_ENTRIES = 200_000  # of space-separated chunks kept per Python worker
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Latin text with plain spaces and newlines: both libraries split it alike.
@@ -56,7 +56,7 @@ def encoder(vocabulary: str, ranks: str) -> Callable[[str], bytes]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(P.path(vocabulary))
+    exact: list[Tokenizer] = []  # loaded with the first text that needs it
     with open(P.path(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encode = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
@@ -72,7 +72,9 @@ def encoder(vocabulary: str, ranks: str) -> Callable[[str], bytes]:
 
     def run(text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text):
-            return array("I", exact.encode(text, add_special_tokens=False).ids).tobytes()
+            if not exact:
+                exact.append(Tokenizer.from_file(P.path(vocabulary)))
+            return array("I", exact[0].encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
         if "" in rest or "\n" in rest:
             return array("I", encode(text)).tobytes()

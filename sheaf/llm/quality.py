@@ -31,7 +31,7 @@ from sheaf.llm.common import text_or_empty
 SAMPLE = 4000
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
-CHUNK = 4 << 20  # bytes of text whose features are made at once
+CHUNK = 1 << 20  # bytes of text whose features are made at once
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 space, 2 lower, 3 capital, 4 digit, 5 plain mark, 6 symbol, 7 "!", 8 beyond ASCII
 _CLASS[list(b" \t\n\r\x0b\x0c")] = 1
 _CLASS[ord("a") : ord("z") + 1] = 2
@@ -104,14 +104,14 @@ def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return np.concatenate([feats, before, after, rest], axis=1), length, per
 
 
-def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, starts, ends) of runs of rows of about ``size`` bytes."""
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, starts, ends) of runs of rows of about ``CHUNK`` bytes."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
         base = offsets[i]
         yield i, j, data[base : offsets[j]], offsets[i:j] - base, offsets[i + 1 : j + 1] - base
         i = j

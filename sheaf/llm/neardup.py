@@ -10,11 +10,18 @@ Equal texts are one node (a 64-bit hash of the text).  Nodes that agree on all s
 20 or so bands of five make a pair of similarity 0.8 meet with probability over 0.9999.  A bucket
 of up to ``ALL_PAIRS`` nodes proposes all its pairs.  A larger one proposes, for each node, the pair
 with the bucket's least node and with the least by a hash of the band, so that different bands
-bring different partners, never all pairs of a group.  Pairs whose signatures agree on too few
+bring different partners.  Pairs whose signatures agree on too few
 slots go; the others are verified on their whole shingle multisets: probability Jaccard, or
 the plain Jaccard of the sets, of at least ``SIMILARITY``.  Components of the verified links,
 by alternating large and small stars, are the classes.
 
+Large buckets whose members are not all of one component by then are searched in whole, in two
+rounds: first each member is verified with the node of another component that it agrees with
+most, then, after new components, all pairs of different components that agree on enough slots.
+Pairs within a component cannot change it.  A bucket meets in cells of two blocks of up to
+about ``BLOCK`` nodes; its largest component is never compared with itself, so the work of a
+group of near copies grows with its size times the strangers in its bucket.
+
 Groups of any size stay distributed: aggregates are partial before the shuffle, and joins on hot
 buckets, hubs and roots have one row a key on the other side and a plain table on either, so
 that skewed keys can be split.  Each step between jobs is a table in the shared folder.
@@ -42,6 +49,7 @@ BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 ESTIMATE = 0.6  # share of agreeing slots that a pair needs to be verified: over five standard errors below 0.8
 ALL_PAIRS = 8
+BLOCK = 1024  # nodes of a large bucket that meet in one task
 BROADCAST_NODES = 1_000_000  # node ids that are sent to all tasks; beyond, a join
 
 _U = np.uint64
@@ -176,10 +184,15 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([x.tobytes() for x in per], pa.binary())], names=["node", "elements"])
 
 
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of slots on which the rows agree."""
+    return (a == b).mean(axis=1)
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
-        keep = pa.array((a == b).mean(axis=1) >= ESTIMATE)
+        keep = pa.array(agreement(a, b) >= ESTIMATE)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
@@ -195,15 +208,19 @@ def nodes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("node"), text_or_empty(text_col).alias("text"))
 
 
-def proposals(signed: DataFrame) -> DataFrame:
-    """Pairs (a < b) of nodes that share a bucket, as the module says."""
+def bucketed(signed: DataFrame) -> DataFrame:
+    """(band, many, hub, other) of the buckets of two nodes or more."""
     members = signed.select("node", F.explode("bands").alias("band"))
     mark = F.xxhash64("node", "band")
     buckets = members.groupBy("band").agg(
         F.count(F.lit(1)).alias("many"), F.min("node").alias("hub"), F.min(F.struct(mark.alias("mark"), "node")).alias("other"),
     ).filter("many > 1").select("band", "many", "hub", F.col("other.node").alias("other"))
-    buckets = stored(buckets, "buckets")
-    in_one = members.join(buckets, "band")
+    return stored(buckets, "buckets")
+
+
+def proposals(signed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Pairs (a < b) of nodes that share a bucket, as the module says."""
+    in_one = signed.select("node", F.explode("bands").alias("band")).join(buckets, "band")
     large = in_one.filter(F.col("many") > ALL_PAIRS).select("node", F.explode(F.array("hub", "other")).alias("to"))
     small = in_one.filter(F.col("many") <= ALL_PAIRS).repartition("band").groupBy("band").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     firsts = small.select(F.posexplode("nodes").alias("at", "node"), "nodes")
@@ -212,14 +229,57 @@ def proposals(signed: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Verified pairs (a < b, similarity) of nodes of ``rows`` (node, text)."""
-    signed = rows.select("node", "text").mapInArrow(_signed, "node long, bands array<long>, agree binary").dropDuplicates(["node"])
-    signed = stored(signed, "signatures")
-    pairs = stored(proposals(signed), "proposals")
-    agree = signed.select("node", "agree")
-    sides = pairs.join(agree.select(F.col("node").alias("a"), F.col("agree").alias("x")), "a").join(agree.select(F.col("node").alias("b"), F.col("agree").alias("y")), "b")
-    pairs = stored(sides.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long"), "agreeing")
+def _crossing(cell: pa.Table, best: bool) -> pa.Table:
+    """Pairs (a < b) of different roots, one of either block, that agree on enough slots: all, or each node's best."""
+    cell = cell.sort_by("node")
+    node, root, own = (cell.column(k).to_numpy() for k in ("node", "root", "own"))
+    agree = np.frombuffer(b"".join(cell.column("agree").to_pylist()), np.uint8).reshape(len(node), -1)
+    first, last = cell.column("first")[0].as_py(), cell.column("last")[0].as_py()
+    left, right = np.flatnonzero(own == first), np.flatnonzero(own == last)
+    found, most, whose = [], np.zeros(len(node)), np.full(len(node), -1)
+    for k in left:
+        to = right[(root[right] != root[k]) & ((right > k) | (first != last))]
+        shares = agreement(agree[to], agree[k])
+        near = shares >= ESTIMATE
+        to, shares = to[near], shares[near]
+        if not len(to):
+            continue
+        if not best:
+            found.append(np.stack([np.full(len(to), k), to], axis=1))
+            continue
+        better = shares > most[to]
+        most[to[better]], whose[to[better]] = shares[better], k
+        top = int(np.argmax(shares))
+        if shares[top] > most[k]:
+            most[k], whose[k] = shares[top], to[top]
+    if best:
+        has = np.flatnonzero(whose >= 0)
+        found = [np.stack([has, whose[has]], axis=1)]
+    pairs = node[np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def crossing(signed: DataFrame, members: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a < b) of nodes of different components that share a bucket of ``members`` (band, node) and agree."""
+    rooted = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    per = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    blocks = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("many")).filter("many > main.n").select(
+        "band", F.col("main.root").alias("main"),
+        F.ceil((F.col("many") - F.col("main.n")) / BLOCK).alias("others"), F.ceil(F.col("main.n") / BLOCK).alias("mains"),
+    )
+    rooted = stored(rooted.join(stored(blocks, "blocks"), "band"), "rooted")
+    is_main, mark = F.col("root") == F.col("main"), F.xxhash64("node", "band")
+    rooted = rooted.withColumn("own", F.when(is_main, F.col("others") + F.pmod(mark, "mains")).otherwise(F.pmod(mark, "others")))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
+    cells = rooted.select("band", "node", "root", "own", F.explode(meets).alias("with")).select(
+        "band", "node", "root", "own", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("last"),
+    )
+    cells = cells.join(signed.select("node", "agree"), "node")
+    return cells.groupBy("band", "first", "last").applyInArrow(lambda cell: _crossing(cell, best), "a long, b long").distinct()
+
+
+def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the ``pairs`` whose shingles are alike."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stored(wanted, "wanted")
     if wanted.count() <= BROADCAST_NODES:
@@ -230,6 +290,29 @@ def links(rows: DataFrame) -> DataFrame:
     return sides.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long, similarity double")
 
 
+def links(rows: DataFrame) -> DataFrame:
+    """Verified pairs (a < b, similarity) of nodes of ``rows`` (node, text), enough to join all that a chain of them joins."""
+    signed = rows.select("node", "text").mapInArrow(_signed, "node long, bands array<long>, agree binary").dropDuplicates(["node"])
+    signed = stored(signed, "signatures")
+    buckets = bucketed(signed)
+    pairs = stored(proposals(signed, buckets), "proposals")
+    agree = signed.select("node", "agree")
+    sides = pairs.join(agree.select(F.col("node").alias("a"), F.col("agree").alias("x")), "a").join(agree.select(F.col("node").alias("b"), F.col("agree").alias("y")), "b")
+    pairs = stored(sides.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long"), "agreeing")
+    found = stored(verified(rows, pairs), "links")
+    large = buckets.filter(F.col("many") > ALL_PAIRS).select("band")
+    if large.isEmpty():
+        return found
+    members = stored(signed.select("node", F.explode("bands").alias("band")).join(large, "band"), "members")
+    for best in (True, False):
+        more = stored(crossing(signed, members, components(found), best).join(pairs, ["a", "b"], "left_anti"), "crossing")
+        if more.isEmpty():
+            continue
+        found = found.unionByName(stored(verified(rows, more), "links"))
+        pairs = pairs.unionByName(more)
+    return found
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node that occurs in ``pairs`` (a, b): root is its component's least node."""
     edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")

@@ -79,6 +79,19 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.first_of_each(documents(spark, [])).count() == 0
 
 
+def test_copies_near_only_their_original_are_one_class(spark):
+    rng = np.random.RandomState(8)
+    base = [f"w{x}" for x in rng.randint(0, 10**6, 400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1001):
+        words = list(base)
+        for k in rng.choice(80, 8, replace=False) * 5:  # no shingle twice: every copy is at 0.818
+            words[k + 2] = f"new{i}x{k}"
+        rows.append((i, " ".join(words)))
+    got = neardup.classes(documents(spark, rows)).collect()
+    assert collections.Counter(r.class_id for r in got) == {0: 1001}
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.RandomState(1)
     both = rng.randint(1, 2**60, 300).astype(np.uint64)

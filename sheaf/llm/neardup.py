@@ -4,7 +4,9 @@ A text's shingles are runs of five words (all words, where there are fewer), wei
 they occur.  Each shingle starts a Poisson process of rate its weight; every arrival falls on
 one of ``SLOTS`` slots, which keeps its first.  A shingle stops once its time is beyond all
 slots' times, so most stop after a few arrivals.  Two texts agree on a slot with the probability
-Jaccard similarity of their weighted shingles.
+Jaccard similarity of their weighted shingles.  A second signature, of rates 1, agrees with the
+plain Jaccard similarity; it differs only where a text repeats a shingle, and such a text is in the
+buckets of both.  The larger of the two shares of agreeing slots counts.
 
 Equal texts are one node (a 64-bit hash of the text).  Nodes that agree on all slots of a band share a bucket;
 20 or so bands of five make a pair of similarity 0.8 meet with probability over 0.9999.  A bucket
@@ -134,6 +136,21 @@ def signatures(doc: np.ndarray, element: np.ndarray, n_docs: int, slots: int = S
     return kept.reshape(n_docs, slots)
 
 
+def plain_signatures(doc: np.ndarray, element: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The signatures ``kept`` with those of each document that repeats a shingle taken anew from its set."""
+    order = np.lexsort((element, doc))
+    doc, element = doc[order], element[order]
+    again = np.zeros(len(doc), bool)
+    again[1:] = (doc[1:] == doc[:-1]) & (element[1:] == element[:-1])
+    repeats = np.unique(doc[again])
+    if not len(repeats):
+        return kept
+    of = np.isin(doc, repeats) & ~again
+    plain = kept.copy()
+    plain[repeats] = signatures(np.searchsorted(repeats, doc[of]), element[of], len(repeats), kept.shape[1])
+    return plain
+
+
 def band_keys(kept: np.ndarray) -> np.ndarray:
     parts = kept.reshape(len(kept), BANDS, ROWS)
     with np.errstate(over="ignore"):
@@ -159,16 +176,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> (node, bands, agree): band keys, and one byte of each slot."""
+    """(node, text) -> (node, bands, agree): band keys, and one byte of each slot of both signatures."""
     for batch in batches:
         for i, j, data, starts, ends in chunks(batch.column(1)):
             doc, element = shingles(data, starts, ends)
             kept = signatures(doc, element, j - i)
+            plain = plain_signatures(doc, element, kept)
             full = np.bincount(doc, minlength=j - i) > 0
-            keys = band_keys(kept)
-            agree = kept.astype(np.uint8)
+            keys = [np.unique(x) for x in np.concatenate([band_keys(kept), band_keys(plain)], axis=1)[full]]
+            agree = np.concatenate([kept, plain], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[i:j].filter(pa.array(full)), pa.array(list(keys[full]), pa.list_(pa.int64())), pa.array([x.tobytes() for x in agree[full]], pa.binary())],
+                [batch.column(0)[i:j].filter(pa.array(full)), pa.array(keys, pa.list_(pa.int64())), pa.array([x.tobytes() for x in agree[full]], pa.binary())],
                 names=["node", "bands", "agree"],
             )
 
@@ -185,13 +203,14 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of slots on which the rows agree."""
-    return (a == b).mean(axis=1)
+    """Share of slots on which the rows agree, of the weighted signatures or of the plain ones."""
+    same = a == b
+    return np.maximum(same[:, :SLOTS].mean(axis=1), same[:, SLOTS:].mean(axis=1))
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 2 * SLOTS) for k in (2, 3))
         keep = pa.array(agreement(a, b) >= ESTIMATE)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 

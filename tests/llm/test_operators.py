@@ -92,6 +92,15 @@ def test_copies_near_only_their_original_are_one_class(spark):
     assert collections.Counter(r.class_id for r in got) == {0: 1001}
 
 
+def test_copies_that_repeat_a_line_more_often_are_one_class(spark):
+    rng = np.random.RandomState(9)
+    base, line = " ".join(f"w{x}" for x in rng.randint(0, 10**6, 400)), " one line of ten words that comes again and again"
+    rows = [(i, base + line * n) for i, n in enumerate((1, 40, 100))] + [(3, " ".join(f"v{x}" for x in rng.randint(0, 10**6, 400)) + line * 40)]
+    assert brute_classes(rows) == [(0, 0), (1, 0), (2, 0), (3, 3)]
+    got = neardup.classes(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.RandomState(1)
     both = rng.randint(1, 2**60, 300).astype(np.uint64)

@@ -162,7 +162,8 @@ class Model:
         return score
 
 
-def fit(texts: list[str], labels: list[int]) -> Model | None:
+def fit(texts: list[str], labels: list[int], marks: np.ndarray) -> Model | None:
+    """``texts`` may be the words alone; ``marks`` are the patterns of the whole texts."""
     if len(set(labels)) < 2:
         return None
     docs = [(set(_WORD.findall(t.lower())), y) for t, y in zip(texts, labels, strict=True)]
@@ -170,7 +171,6 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     present = np.zeros((len(docs), len(entries)), np.float32)
     for row, (words, _) in zip(present, docs, strict=True):
         row[[entries[k] for w in words for k in keys_of(w) if k in entries]] = 1
-    marks = np.array([patterns(t) for t in texts])
     y = np.array(labels)
     insult = np.array([bool(words & INSULTS) for words, _ in docs])
     columns = [np.where(present[:, j] > 0, 1, -1) for j in covering(present, y, VOTERS)]
@@ -184,9 +184,16 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None:
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD, bound)
     words = F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), " ")
-    marks = F.concat_ws(" ", words, F.when(F.regexp_like("text", F.lit("(?s)!.*!.*!")), "!!!"))
-    rows = sample.select("doc_id", "label", marks.alias("words")).orderBy("doc_id", "words").toPandas()
-    return fit(rows["words"].tolist(), rows["label"].tolist()) if len(rows) else None
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [patterns(t.as_py()) for t in batch.column(3)]
+            shout, call = (pa.array([m[k] for m in marks], pa.float64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), shout, call], names=["doc_id", "label", "words", "shout", "call"])
+
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", words.alias("words"), "text")
+    rows = rows.mapInArrow(marked, "doc_id long, label int, words string, shout double, call double").orderBy("doc_id", "words", "shout", "call").toPandas()
+    return fit(rows["words"].tolist(), rows["label"].tolist(), rows[["shout", "call"]].to_numpy()) if len(rows) else None
 
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

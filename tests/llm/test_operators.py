@@ -345,6 +345,18 @@ def test_held_out_accuracy(spark, module, label, least):
     assert module.score(docs, None).select("score").distinct().count() == 1
 
 
+def test_toxicity_learns_shouting_and_calls(spark):
+    rng = np.random.RandomState(6)
+    rows = []
+    for i in range(400):
+        text = " ".join(f"w{x}" for x in rng.randint(0, 60, 20)) + " you see where they are"
+        rows.append((i, text if i % 2 else f"{text} you are an idiot ! ! !".upper(), 1 - i % 2))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(documents(spark, [r[:2] for r in rows]), labels)
+    shout, call = model.weights[len(model.entries) : len(model.entries) + 2]
+    assert shout > 0.5 and call > 0.5
+
+
 def test_marginals_match_enumeration():
     rng = np.random.RandomState(2)
     per, pair = np.array([1, 4, 3]), rng.randn(2, 2)

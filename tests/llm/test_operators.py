@@ -175,6 +175,14 @@ def test_pii_checks(spark):
     assert got[2][0] == "" and got[3][0].startswith("ssn:") and got[4][0] == ""
 
 
+def test_account_numbers_end_before_what_follows(spark):
+    numbers = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE89370400440532013000", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    after = [" BIC COBADEFFXXX", " 2024-01-01", " EUR 500", " NOK", ", DE89 3704 0044 0532 0130 01 X"]
+    rows = [(i, f"IBAN {n}{x}") for i, (n, x) in enumerate(zip(numbers, after, strict=True))] + [(9, "REF AB12 DE89 3704 0044 0532 0130 00 OK")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.detect(documents(spark, rows))).collect()}
+    assert got == {i: f"iban:5:{5 + len(n)}" for i, n in enumerate(numbers)} | {9: "iban:9:36"}
+
+
 def test_ledger_scans_only_what_is_new(spark):
     first = documents(spark, [(1, "token=abcdef12"), (2, "nothing")])
     ledger = secrets.as_ledger(secrets.scan(secrets.addressed(first).select("blob", "text")))

@@ -10,9 +10,15 @@ Flight: within a bucket of a source (hashed, about ``BUCKET`` documents), three
 time move along the null space of the constraints (number and words of those taken) until one
 is settled, so both totals stay as expected.  At most two documents of a bucket stay open; the
 open ones of ``FAN`` buckets meet in the next level's bucket, and so on.  Landing: a source's
-last two are settled so that its words come nearest to the target; then up to ``REPAIRS``
-documents of the source's last bucket change sides where that brings the words nearer still.
-A hot source merely has more buckets.  All draws come from a hash of the bucket, so reruns agree.
+last two are settled so that its words come nearest to the target.
+
+A long document stays open to the end and is then taken or left as a whole, so a landing can miss
+by its size.  Each source that misses by more than ``NEAR`` of its target therefore flies
+again: documents that could change sides, none longer than a ``FINER``-th of what is missing, do so
+with the chance that makes up for it, again with words and number balanced.  A flight leaves at most
+two open documents, so the miss shrinks by about ``FINER`` each time, until it is near enough or no
+document is that short.  This is the same for every source at every size; a hot source merely has more
+buckets.  All draws come from a hash of the bucket, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own; a source without
 words has target 0 and none of its documents is taken; repeated rows are documents of their
@@ -35,7 +41,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BUCKET = 4096
 FAN = 512
-REPAIRS = 8
+NEAR = 5e-4  # share of its target by which a source's words may miss
+FINER = 4
 SEED = 20240131
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -115,19 +122,6 @@ def landing(sizes: list[float], chances: list[float]) -> list[float]:
     return out
 
 
-def repaired(sizes: list[float], chances: list[float], taken: list[float]) -> list[float]:
-    """Single changes of side, each the one that brings the words nearest to what is expected."""
-    out = list(taken)
-    error = sum(n * (x - c) for n, x, c in zip(sizes, out, chances, strict=True))
-    free = [k for k, c in enumerate(chances) if 1e-9 < c < 1 - 1e-9]
-    for _ in range(REPAIRS):
-        k = min(free, key=lambda k: (abs(error + sizes[k] * (1 - 2 * out[k])), k), default=None)
-        if k is None or abs(error) - abs(moved := error + sizes[k] * (1 - 2 * out[k])) < 1:
-            break
-        out[k], error = 1 - out[k], moved
-    return out
-
-
 def _settled(rows: DataFrame, last: bool) -> DataFrame:
     """One level: each bucket by itself, and at the last level each source's landing."""
 
@@ -141,14 +135,49 @@ def _settle(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
     rows = rows.sort_values([c for c in rows.columns if c not in ("bucket", "chance")], na_position="first", kind="stable").reset_index(drop=True)
     draw = random.Random(hash((SEED, int(rows["number"].iloc[0]), int(rows["bucket"].iloc[0]))))
     sizes = rows["size"].astype(float).tolist()
-    before = rows["chance"].tolist()
-    chances = flight(sizes, before, draw)
-    rows["chance"] = repaired(sizes, before, landing(sizes, chances)) if last else chances
+    chances = flight(sizes, rows["chance"].tolist(), draw)
+    rows["chance"] = landing(sizes, chances) if last else chances
     return rows
 
 
+def flown(rows: DataFrame, widest: int, label: str) -> DataFrame:
+    """``rows`` (number, bucket, size, chance, other columns) with every chance settled at 0 or 1; ``widest``: the most buckets of a source."""
+    out = None
+    while True:
+        rows = stored(_settled(rows, widest == 1), label)
+        is_open = (F.col("chance") > 0) & (F.col("chance") < 1)
+        done = rows if widest == 1 else rows.filter(~is_open)
+        out = done if out is None else out.unionByName(done)
+        if widest == 1:
+            return out
+        widest = math.ceil(widest / FAN)
+        rows = rows.filter(is_open).withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
+
+
+def made_up(taken: DataFrame, aims: DataFrame, widest: int) -> DataFrame:
+    """``taken`` (number, bucket, size, fraction, side, other columns) with sides changed until each source's words are near its target."""
+    before = None
+    while True:
+        missing = taken.groupBy("number").agg(F.sum(F.col("size") * (F.col("fraction") - F.col("side"))).alias("missing"))
+        far = missing.join(aims.select("number", "target"), "number").filter(F.abs("missing") > F.greatest(F.lit(1.0), NEAR * F.col("target")))
+        can = taken.join(stored(far.select("number", "missing"), "far"), "number").filter(
+            (F.col("fraction") > 1e-9) & (F.col("fraction") < 1 - 1e-9) & (F.col("size") > 0)
+            & (F.col("side") == F.when(F.col("missing") > 0, 0).otherwise(1)) & (F.col("size") * FINER <= F.abs("missing"))
+        )
+        share = can.groupBy("number").agg(F.max(F.abs("missing")).alias("far"), F.sum("size").alias("room")).select("number", "far", F.least(F.lit(1.0), F.col("far") / F.col("room")).alias("chance"))
+        share = stored(share, "missing")
+        worst = share.agg(F.sum("far")).first()[0]
+        if worst is None or (before is not None and worst >= before):
+            return taken
+        before = worst
+        movers = can.drop("missing").join(share.select("number", "chance"), "number")
+        moved = flown(movers, widest, "moved").filter("chance > 0").select(F.col("key").alias("_key"), F.lit(1).alias("_moved"))
+        both = taken.join(moved, taken["key"] == F.col("_key"), "left")
+        taken = stored(both.select(*[c for c in taken.columns if c != "side"], F.when(F.col("_moved") == 1, 1 - F.col("side")).otherwise(F.col("side")).alias("side")), "taken")
+
+
 def mix(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``sizes`` (doc_id, source, size, other columns) with source_size, target, copies, taken."""
+    """doc_id, size, source_size, target, taken, then source, copies and the other columns of ``sizes`` (doc_id, source, size, ...)."""
     sizes = stored(sizes, "sizes")
     extra = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     aims = stored(targets(sizes, weights, most), "targets")
@@ -156,25 +185,15 @@ def mix(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     rows = sizes.join(aims.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
         "number", "doc_id", "size", *extra,
         F.floor("ratio").cast("long").alias("whole"),
+        (F.col("ratio") - F.floor("ratio")).alias("fraction"),
         F.pmod(F.xxhash64("doc_id", "size", *extra), F.col("buckets")).alias("bucket"),
         (F.col("ratio") - F.floor("ratio")).alias("chance"),
     )
-    settled = []
-    while True:
-        last = widest == 1
-        rows = stored(_settled(rows, last), "flight")
-        is_open = (F.col("chance") > 0) & (F.col("chance") < 1)
-        if last:
-            settled.append(rows)
-            break
-        settled.append(rows.filter(~is_open))
-        widest = math.ceil(widest / FAN)
-        rows = rows.filter(is_open).withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
-    copies = F.col("whole") + F.col("chance").cast("long")
-    return out.join(aims, "number").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *extra)
+    settled = flown(rows, widest, "flight")
+    settled = stored(settled.select("number", "bucket", "doc_id", "size", *extra, "whole", "fraction", F.col("chance").cast("int").alias("side"), F.monotonically_increasing_id().alias("key")), "settled")
+    out = made_up(settled, aims, widest)
+    copies = F.col("whole") + F.col("side")
+    return out.join(aims, "number").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"), *extra)
 
 
 def mixed_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -237,6 +237,22 @@ def test_mixing_meets_targets(spark, docs, monkeypatch):
     assert mixed.columns == frame.columns and mixed.count() == got["copies"].sum()
 
 
+def test_mixing_lands_near_the_target_beside_a_long_document(spark, monkeypatch):
+    rng = np.random.RandomState(12)
+    rows = [(i, "w " * int(n), "a") for i, n in enumerate(rng.randint(150, 450, 500))] + [(600, "w " * 100_000, "a")]
+    rows += [(1000 + i, "w " * int(n), "b") for i, n in enumerate(rng.randint(1, 90, 900))] + [(2000, "w " * 3_000, "b"), (2001, "w", "c")]
+    found = []
+    for bucket in (4096, 64):  # one level of flight, then several: the same care
+        monkeypatch.setattr(mixing, "BUCKET", bucket)
+        got = mixing.mix(mixing.sized(documents(spark, rows)))
+        assert got.columns[:7] == ["doc_id", "size", "source_size", "target", "taken", "source", "copies"]
+        got = got.toPandas()
+        for _, part in got.groupby("source"):
+            assert abs(part["taken"].sum() - part["target"].iloc[0]) <= max(1.0, 0.002 * part["target"].iloc[0]) + part["size"].min() * 8
+            assert (part["taken"] <= 3 * part["size"]).all()
+        found.append(got)
+
+
 def test_mixing_nothing(spark):
     assert mixing.mix(mixing.sized(documents(spark, []))).count() == 0
     assert mixing.mixed_documents(documents(spark, [])).count() == 0

@@ -329,7 +329,8 @@ def test_balance_takes_the_cheapest_sequence():
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(search, "ROW_BLOCK", 64)
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "QUERY_BYTES", 3 * 8 * 16)
+    monkeypatch.setattr(search, "QUERY_ROWS", 2)
     rng = np.random.RandomState(5)
     rows = [(i, rng.randn(16).round(2).tolist()) for i in range(900)] + [(i, [0.5] * 16) for i in range(900, 1000)]
     rows += [(1001, None), (1002, [float("nan")] * 16), (1003, [None] * 16), (None, [1.0] * 16), (1100, [1.0, 2.0]), (1101, [3.0, 4.0]), (1200, []), (5, rows[5][1])]
@@ -345,6 +346,32 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert search.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_long_and_large_vectors_is_exact(spark):
+    rng = np.random.RandomState(7)
+    rows = [(i, (rng.randint(-(2**20), 2**20, 40_000) / 1024).tolist()) for i in range(12)] + [(100, [1e300, -1e300, 1e18]), (101, [1e300, 1.0, 1.0]), (102, [-1.0, 1.0, 2.0**60])]
+    assert not search.exact_together(np.full((1, 40_000), 2.0**20), np.full((1, 40_000), 2.0**20))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    whole = {i: [int(np.floor(1024 * x)) if abs(x) < 1e200 else int(x) * 1024 for x in v] for i, v in rows}
+    want = {}
+    for q in (0, 100):
+        score = lambda i: min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(whole[q], whole[i], strict=True))))  # noqa: B023, E731
+        found = sorted((-score(i), i) for i, v in rows if i != q and len(v) == len(whole[q]))
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(found[:10], 1)}
+    assert got == want
+
+
+def test_search_resolves_only_what_its_lists_reach():
+    rng = np.random.RandomState(3)
+    lists = [rng.randint(-99, 99, (2, 50)).astype(float) for _ in range(4)]
+    cut = np.array([150, search.LEAST])
+    qs, rs = search.reached(lists, [search.share_of(cut)[:, None]] * 4)
+    held = set(zip(qs.tolist(), rs.tolist(), strict=True))
+    assert {r for q, r in held if q == 1} == set(range(50))
+    assert {(0, r) for r in range(50) if sum(s[0, r] for s in lists) >= 150} <= held
+    assert {r for q, r in held if q == 0} == {r for r in range(50) if max(s[0, r] for s in lists) >= 38}
+    assert search.resolved(lists, qs, rs).tolist() == [int(sum(s[q, r] for s in lists)) for q, r in zip(qs, rs, strict=True)]
+
+
 # 8 and 9: classifiers
 
 

@@ -5,10 +5,14 @@ grows with its length.  A bit of the fingerprint is set where the weights of the
 hash has that bit exceed half of all weights.  Votes of two bits share one 64-bit sum (32 bits
 each, enough for any text that a string can hold), so a word costs 32 additions.
 
-``edited`` needs each document's successor.  Rows go to blocks of neighbouring ids (bounds:
-approximate quantiles, at most ``MAX_BLOCKS`` of them); the first rows of a block also go to the
-block before it.  Texts are shuffled once, by block; window, votes and the comparison with
-the successor then reuse that partitioning.  A block sorts on disk where memory is short.
+``edited`` needs each document's successor by (doc_id, text).  Rows go to blocks of neighbours in that
+order: the bounds are pairs of an id and the beginning of a text, from a sample of ``SAMPLE`` rows a
+block, so a null or repeated id is split by its texts as ids are among themselves.  The sample
+moves bounds only, never results.  The first rows of a block also go to the block before it.  There
+are at most ``MAX_BLOCKS`` blocks, so that their bounds stay some megabytes; beyond ``MAX_BLOCKS *
+ROWS_PER_BLOCK`` rows the blocks grow, and sort on disk (at 5 * 10^10 rows one holds 3 * 10^6).  Only rows alike in
+id and in the first ``HEAD`` characters stay together.  Texts are shuffled once, by block; window, votes and
+the comparison with the successor then reuse that partitioning.
 
 ``links`` finds all pairs of different fingerprints within a Hamming radius by permuted block
 tables: 64 bits in ``blocks`` blocks, one table for each choice of ``blocks - radius`` blocks,
@@ -21,6 +25,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,46 +34,55 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import text_or_empty
 
 ROWS_PER_BLOCK = 32
-MAX_BLOCKS = 4096
+MAX_BLOCKS = 16384
+SAMPLE = 8
+HEAD = 64
 BITS = 64
 _SPACE = r"[\x20\x09-\x0D]+"
 _PAIR = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
 
-def _longs(values: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+def _place() -> Column:
+    """A row's place in the order; structs compare field by field, nulls first."""
+    return F.struct(F.col("doc_id"), F.substring("text", 1, HEAD).alias("head"))
 
 
-def _reached(bounds: list[int], value: Column) -> Column:
-    """How many of the ascending bounds are at most ``value``, by binary search (none for null)."""
-    array, steps = _longs(bounds), [1 << b for b in range(max(1, len(bounds)).bit_length() - 1, -1, -1)]
+def _bounds(found: list[tuple[int | None, str]]) -> Column:
+    told = json.dumps([{"doc_id": i, "head": h} for i, h in found])
+    return F.from_json(F.lit(told), "array<struct<doc_id:bigint,head:string>>")
+
+
+def _reached(bounds: list[tuple[int | None, str]], value: Column) -> Column:
+    """How many of the ascending bounds are at most ``value``, by binary search."""
+    array, steps = _bounds(bounds), [1 << b for b in range(max(1, len(bounds)).bit_length() - 1, -1, -1)]
     at_most = lambda at: F.when(at <= len(bounds), F.try_element_at(array, at) <= value).otherwise(F.lit(False))
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda acc, s: F.when(at_most(acc + s), acc + s).otherwise(acc))
 
 
+def _ordered(found: list) -> list[tuple[int | None, str]]:
+    return sorted({tuple(r) for r in found}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, text) with their block; the first of each block again, as a guest of the block before."""
-    ids = rows.select("doc_id")
-    many, nulls = ids.agg(F.count(F.lit(1)), F.count_if(F.isnull("doc_id"))).first()
+    many = rows.count()
     n = max(1, min(MAX_BLOCKS, many // ROWS_PER_BLOCK))
-    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] if n > 1 else []
-    cuts = sorted(set(found or []))
-    heads = sorted(r[0] for r in ids.filter("doc_id is not null").groupBy(_reached(cuts, F.col("doc_id")).alias("b")).agg(F.min("doc_id").alias("m")).select("m").collect())
+    cuts = []
+    if n > 1:
+        drawn = rows.sample(min(1.0, n * SAMPLE / many), 1).select(_place().alias("p")).select("p.*").collect()
+        drawn.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        cuts = _ordered([drawn[len(drawn) * i // n] for i in range(1, n)]) if drawn else []
+    heads = _ordered(rows.groupBy(_reached(cuts, _place()).alias("b")).agg(F.min(_place()).alias("m")).select("m.*").collect())
     last = max(0, len(heads) - 1)
-    block = _reached(heads[1:], F.col("doc_id"))
-    firsts = _longs(heads)
-    with_block = rows.withColumn("block", block)
-    own = F.try_element_at(firsts, F.col("block") + 1)
-    first = F.when(F.col("block") == 0, F.col("doc_id").isNull() if nulls else F.coalesce(F.col("doc_id") == own, F.lit(False))).otherwise(F.col("doc_id") == own)
+    with_block = rows.withColumn("block", _reached(heads[1:], _place()))
+    first = F.coalesce(F.try_element_at(_bounds(heads), F.col("block") + 1) == _place(), F.lit(False))
     before = F.when(F.col("block") == 0, F.lit(last)).otherwise(F.col("block") - 1)
     place = lambda b, guest: F.struct(b.cast("int").alias("block"), F.lit(guest).alias("guest"))
     places = F.when(first, F.array(place(F.col("block"), False), place(before, True))).otherwise(F.array(place(F.col("block"), False)))
     return with_block.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.block", "p.guest")
 
 
-
-
 def _bit_sums(hash_: str, weight: str) -> list[Column]:
     pair = F.lit(_PAIR)
     return [F.sum(F.shiftrightunsigned(hash_, j).bitwiseAND(pair) * F.col(weight)).alias(f"s{j}") for j in range(BITS // 2)] + [F.sum(weight).alias("w")]

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sheaf.llm import fingerprints, lines, mixing, neardup, packing, pii, quality, queries, search, secrets, toxicity
@@ -440,6 +441,36 @@ def test_label_model_finds_the_better_voters():
 # 10: fingerprints
 
 
+def brute_print(text):
+    words = re.split(r"[\x20\x09-\x0D]+", text)
+    votes, total = [0] * 64, 0
+    for k, a in enumerate(words):
+        b = words[k + 1] if k + 1 < len(words) else None
+        length = len(a) + len(b or "")
+        weight = min(4, 1 + length // 5) if length else 0
+        h = xxhash.xxh64_intdigest(a.encode(), seed=42)
+        h = h if b is None else xxhash.xxh64_intdigest(b.encode(), seed=h)
+        total += weight
+        for j in range(64):
+            votes[j] += weight * (h >> j & 1)
+    return sum(1 << j for j in range(64) if 2 * votes[j] > total)
+
+
+def test_null_and_repeated_ids_are_split(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_BLOCK", 4)
+    rows = [(None, f"no id {k % 97} {k}") for k in range(300)] + [(7, f"one id {k}") for k in range(300)] + [(k, f"own {k}") for k in range(50)] + [(7, "same")] * 5
+    frame = documents(spark, rows).select("doc_id", "text")
+    found = fingerprints.blocks(frame).filter("not guest").groupBy("block").count().toPandas()
+    assert len(found) > 80 and found["count"].max() < 40
+    got = fingerprints.compared(frame).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, t) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        want.append((i, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_fingerprints(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()] + ODD + [(-5, "same words here"), (10**10, "same words here")]
     got = fingerprints.compared(documents(spark, rows)).collect()
@@ -457,6 +488,16 @@ def test_fingerprints(spark, docs):
     assert all(len(x) == 1 for x in prints.values())
     long = [r for r in got if r.n_chars > 300 and r.doc_id != 10**9 + 3]
     assert np.mean([r.near_edited > r.near_next for r in long]) > 0.9
+    body = {(r.doc_id, r.edited_sha256): r for r in got}
+    for k, (i, t) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        r = body[i, hashlib.sha256(edited.encode()).hexdigest()]
+        own, other, following = brute_print(t), brute_print(edited), brute_print(after)
+        assert (r.fingerprint, r.edited_fingerprint) == (f"{own:016x}", f"{other:016x}")
+        assert r.near_edited == 1 - (own ^ other).bit_count() / 64
+        if sum(x == i for x, _ in rows) == 1:
+            assert r.near_next == 1 - (own ^ following).bit_count() / 64
     one = fingerprints.compared(documents(spark, [(1, "only one")])).first()
     assert one.near_next == 1.0
     assert fingerprints.compared(documents(spark, [])).count() == 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm import fingerprints, lines, mixing, neardup, packing, pii, quality, search, secrets, toxicity
+from sheaf.llm.common import checkpoint_dir
 from sheaf.session import table
 
 
@@ -15,7 +17,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    ledger = secrets.Ledger(spark, f"{checkpoint_dir(spark)}/sheaf-ledger-{uuid.uuid4().hex}")
+    return secrets.digest(table(spark, sf_dir, "documents"), ledger)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Every version of a text is addressed by its SHA-256.  The ledger holds, for each blob and
 rule version that was scanned, what it found (also when that was nothing).  A scan takes one
 row per blob, leaves out the pairs that the ledger holds, runs the other rules, and joins the
-findings back to every row that carries the blob.
+findings back to every row that carries the blob.  ``Ledger`` keeps it as a Parquet table: each
+update appends the pairs it scanned and scans none of them again; a rule whose version was raised
+is scanned anew, and its older findings no longer count.  The query keeps one for its run.
 
 Built-in functions only.  Copies collapse before the shuffle (a partial aggregate); findings
 hold one row per blob, so a blob that a third of all rows carry makes one skewed side of a
@@ -15,7 +17,9 @@ empty table gives no rows; other columns are ignored; a blob's text is scanned w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.spans import NO_SPANS, find
@@ -89,14 +93,43 @@ def _in_order(found: Column, rules: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(every), lambda x: x["said"]), ",")
 
 
-def digest(docs: DataFrame, *, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: counts of the base rules and all spans, from the ledger and a scan of the rest."""
+class Ledger:
+    """The ledger as a table at ``path``, which all executors must reach."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def parts(self) -> list[str]:
+        """The folders of the updates that were finished, oldest first."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(conf)
+        if not fs.exists(top):
+            return []
+        names = sorted(x.getPath().getName() for x in fs.listStatus(top) if x.isDirectory())
+        return [f"{self.path}/{n}" for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+
+    def rows(self) -> DataFrame:
+        parts = self.parts()
+        if not parts:
+            return self.spark.createDataFrame([], LEDGER_SCHEMA)
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(*parts)
+
+    def update(self, versions: DataFrame) -> int:
+        """Scans what ``versions`` (blob, text) hold and the ledger lacks, and appends it; the number of pairs scanned."""
+        known = self.parts()
+        found = as_ledger(scan(versions, self.rows() if known else None))
+        new = f"{self.path}/update-{len(known):06d}-{uuid.uuid4().hex}"
+        found.write.parquet(new)
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(new).count()
+
+
+def digest(docs: DataFrame, ledger: Ledger, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: counts of the base rules and all spans; what the ledger lacks is scanned and added to it first."""
     versions = addressed(docs, id_col, text_col)
-    found = scan(versions.select("blob", "text"), ledger)
-    if ledger is not None:
-        both = as_ledger(found).unionByName(ledger.filter(F.col("rule_version").isin([rule_version(r) for r in RULES])))
-        found = both.filter(F.size("spans") > 0).groupBy("blob").agg(F.collect_list(F.struct("rule_version", "spans")).alias("found"))
-    found = found.filter(F.exists("found", lambda f: F.size(f["spans"]) > 0))
+    ledger.update(versions.select("blob", "text"))
+    found = ledger.rows().filter(F.col("rule_version").isin([rule_version(r) for r in RULES]) & (F.size("spans") > 0))
+    found = found.groupBy("blob").agg(F.collect_list(F.struct("rule_version", "spans")).alias("found"))  # at most one row a rule
 
     def count(rule: str) -> Column:
         own = F.filter("found", lambda f: f["rule_version"] == rule_version(rule))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -154,8 +155,13 @@ def spans_of(patterns, text, by_start):
     return ",".join(f"{k}:{a}:{z}" for a, _, k, z in found), collections.Counter(k for _, _, k, _ in found)
 
 
-@pytest.mark.parametrize(("digest", "patterns", "by_start"), [(secrets.digest, SECRET, True), (lambda d: pii.digest(pii.detect(d)), PRIVATE, False)])
-def test_spans_match_python(spark, docs, digest, patterns, by_start):
+def fresh_ledger(spark, tmp_path):
+    return secrets.Ledger(spark, f"file://{tmp_path}/ledger-{uuid.uuid4().hex}")
+
+
+@pytest.mark.parametrize(("which", "patterns", "by_start"), [("secrets", SECRET, True), ("pii", PRIVATE, False)])
+def test_spans_match_python(spark, docs, which, patterns, by_start, tmp_path):
+    digest = {"secrets": lambda d: secrets.digest(d, fresh_ledger(spark, tmp_path)), "pii": lambda d: pii.digest(pii.detect(d))}[which]
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10**6 + i, t) for i, t in enumerate(SPAN_TEXTS)] + [(10**6, "")]
     texts = dict(rows)
     got = digest(documents(spark, rows)).collect()
@@ -194,8 +200,29 @@ def test_ledger_scans_only_what_is_new(spark):
     partial = ledger.filter(F.col("rule_version") != secrets.rule_version("assign"))
     redo = secrets.scan(secrets.addressed(first).select("blob", "text"), partial)
     assert [f.rule_version for r in redo.collect() for f in r.found] == [secrets.rule_version("assign")] * 2
-    told = {r.doc_id: r.n_assign for r in secrets.digest(both, ledger=ledger).collect()}
-    assert told == {1: 1, 3: 1, 4: 1}
+
+
+def test_ledger_is_kept_over_three_versions(spark, tmp_path, monkeypatch):
+    """Three successive versions of the documents, a rule raised between the second and the third."""
+    ledger, rules = fresh_ledger(spark, tmp_path), len(secrets.RULES)
+    versions = [
+        [(1, "token=abcdef12"), (2, "nothing")],
+        [(1, "token=abcdef12 more"), (2, "nothing"), (3, "token=abcdef12")],
+        [(1, "token=abcdef12 more"), (2, "deadbeef" * 4), (4, "nothing")],
+    ]
+    scanned = []
+    for k, rows in enumerate(versions):
+        if k == 2:
+            monkeypatch.setitem(secrets.RULES, "hex", (2, secrets.RULES["hex"][1]))
+        frame = documents(spark, rows)
+        scanned.append(ledger.update(secrets.addressed(frame).select("blob", "text")))
+        assert ledger.update(secrets.addressed(frame).select("blob", "text")) == 0
+        got = {r.doc_id: (r.n_assign, r.n_hex, r.spans) for r in secrets.digest(frame, ledger).collect()}
+        want = {i: spans_of(SECRET, t, True) for i, t in rows}
+        assert got == {i: (many["assign"], many["hex"], said) for i, (said, many) in want.items()}
+    # two blobs; one new blob; one new blob, and the raised rule on the two that came again
+    assert scanned == [2 * rules, rules, rules + 2]
+    assert ledger.rows().groupBy("blob", "rule_version").count().filter("count > 1").isEmpty()
 
 
 # 3: mixing

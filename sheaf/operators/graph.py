@@ -1,7 +1,7 @@
 """Parent chains, reachability and components over edge tables.
 
 Chains and closures advance a level at a time by equi joins; each level is written to the
-shared checkpoint folder when the session has one, so that lineage stays short.
+shared checkpoint folder, so that lineage stays short and a lost executor repeats one level.
 """
 
 from __future__ import annotations
@@ -9,17 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.session import shared_dir
+
 MAX_CHAIN = 64
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where the cluster names a folder; otherwise the plan goes on."""
+    """A reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

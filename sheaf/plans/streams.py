@@ -6,20 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.plans.registry import query
-from sheaf.session import table
+from sheaf.session import shared_dir, table
 from sheaf.streaming import reports
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder for stream state: the cluster's, or a local one for local runs."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="sheaf-stream-")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.arriving(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events"))
 
@@ -27,7 +17,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_search", "SELECT event_id, event_type, value FROM events WHERE event_type = 'error' AND value > 50")
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports.search(_events(spark, sf_dir), (F.col("event_type") == "error") & (F.col("value") > 50))
-    return reports.drained(found.select("event_id", "event_type", "value"), _shared(spark))
+    return reports.drained(found.select("event_id", "event_type", "value"), shared_dir(spark))
 
 
 @query(
@@ -36,7 +26,7 @@ def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed windows: those that end before the watermark, a day behind the last event."""
-    found = reports.drained(reports.report(_events(spark, sf_dir), ts="ts", key="event_type", value="value"), _shared(spark))
+    found = reports.drained(reports.report(_events(spark, sf_dir), ts="ts", key="event_type", value="value"), shared_dir(spark))
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "most")
 
 
@@ -44,4 +34,4 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of user and type that occur; late repeats beyond the watermark meet in the batch distinct."""
     found = reports.dedupe(_events(spark, sf_dir).select("ts", "user_id", "event_type"), ts="ts", keys=["user_id", "event_type"])
-    return reports.drained(found.select("user_id", "event_type"), _shared(spark)).distinct()
+    return reports.drained(found.select("user_id", "event_type"), shared_dir(spark)).distinct()

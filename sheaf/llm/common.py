@@ -3,33 +3,64 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.session import shared_dir
 
-_OWN: list[str] = []
+checkpoint_dir = shared_dir
 
+#: Paths written within each open ``scratch``, innermost last.
+_SCOPES: list[list[str]] = []
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; our own only where the session names none (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not _OWN:
-            import tempfile
 
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="sheaf-checkpoint-"))
-        found = _OWN[0]
-    return found.rstrip("/")
+def _removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within go at the end, but for those stored with ``keep``, which belong to the scope around."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _removed(spark, path)
+
+
+def gone_after(path: str) -> str:
+    """``path``, to be removed at the end of the innermost ``scratch``."""
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/sheaf-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import stored, text_or_empty
+from sheaf.llm.common import free_names, scratch, stored, text_or_empty
 
 MIN_SITES = 5
 MIN_CHARS = 12
@@ -63,15 +63,18 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
 
 def dedup(docs: DataFrame, *, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines out of the text, and n_lines and n_removed."""
-    lines = stored(line_table(docs, min_chars, id_col=id_col, text_col=text_col, source_col=source_col), "lines")
-    bad = stored(boilerplate(lines, min_sites), "boilerplate")
-    first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("at") == F.col("first_at"))
-    out = lines.join(bad, "key").filter(~first).groupBy("doc", "text_key").agg(F.collect_set("at").alias("drop"))
-    out = out.select(F.col("doc").alias("_sheaf_doc"), F.col("text_key").alias("_sheaf_key"), F.col("drop").alias("_sheaf_drop"))
-    meets = F.col(id_col).eqNullSafe(F.col("_sheaf_doc")) & (_text_key(text_col) == F.col("_sheaf_key"))
+    doc_, key_, drop_ = free_names(docs, "_doc", "_key", "_drop")
+    with scratch(docs.sparkSession):
+        lines = stored(line_table(docs, min_chars, id_col=id_col, text_col=text_col, source_col=source_col), "lines")
+        bad = stored(boilerplate(lines, min_sites), "boilerplate")
+        first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("at") == F.col("first_at"))
+        out = lines.join(bad, "key").filter(~first).groupBy("doc", "text_key").agg(F.collect_set("at").alias("drop"))
+        out = out.select(F.col("doc").alias(doc_), F.col("text_key").alias(key_), F.col("drop").alias(drop_))
+        out = stored(out, "dropped", keep=True)
+    meets = F.col(id_col).eqNullSafe(F.col(doc_)) & (_text_key(text_col) == F.col(key_))
     both = docs.join(out.hint("shuffle_hash"), meets, "left")
     parts = F.split(F.col(text_col).cast("string"), "\n")
-    drop = F.coalesce("_sheaf_drop", F.array().cast("array<int>"))
+    drop = F.coalesce(drop_, F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)
     text = F.when(F.size(drop) == 0, F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import stored, text_or_empty
+from sheaf.llm.common import free_names, scratch, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -178,22 +178,24 @@ def made_up(taken: DataFrame, aims: DataFrame, widest: int) -> DataFrame:
 
 def mix(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken, then source, copies and the other columns of ``sizes`` (doc_id, source, size, ...)."""
-    sizes = stored(sizes, "sizes")
-    extra = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
-    aims = stored(targets(sizes, weights, most), "targets")
-    widest = aims.agg(F.max("buckets")).first()[0] or 1
-    rows = sizes.join(aims.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "number", "doc_id", "size", *extra,
-        F.floor("ratio").cast("long").alias("whole"),
-        (F.col("ratio") - F.floor("ratio")).alias("fraction"),
-        F.pmod(F.xxhash64("doc_id", "size", *extra), F.col("buckets")).alias("bucket"),
-        (F.col("ratio") - F.floor("ratio")).alias("chance"),
-    )
-    settled = flown(rows, widest, "flight")
-    settled = stored(settled.select("number", "bucket", "doc_id", "size", *extra, "whole", "fraction", F.col("chance").cast("int").alias("side"), F.monotonically_increasing_id().alias("key")), "settled")
-    out = made_up(settled, aims, widest)
-    copies = F.col("whole") + F.col("side")
-    return out.join(aims, "number").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"), *extra)
+    with scratch(sizes.sparkSession):
+        sizes = stored(sizes, "sizes")
+        extra = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
+        aims = stored(targets(sizes, weights, most), "targets")
+        widest = aims.agg(F.max("buckets")).first()[0] or 1
+        rows = sizes.join(aims.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
+            "number", "doc_id", "size", *extra,
+            F.floor("ratio").cast("long").alias("whole"),
+            (F.col("ratio") - F.floor("ratio")).alias("fraction"),
+            F.pmod(F.xxhash64("doc_id", "size", *extra), F.col("buckets")).alias("bucket"),
+            (F.col("ratio") - F.floor("ratio")).alias("chance"),
+        )
+        settled = flown(rows, widest, "flight")
+        settled = stored(settled.select("number", "bucket", "doc_id", "size", *extra, "whole", "fraction", F.col("chance").cast("int").alias("side"), F.monotonically_increasing_id().alias("key")), "settled")
+        out = made_up(settled, aims, widest)
+        copies = F.col("whole") + F.col("side")
+        told = out.join(aims, "number").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"), *extra)
+        return stored(told, "mixed", keep=True)
 
 
 def mixed_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -201,12 +203,13 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
     Rows of one id and text share what the mix takes of them as evenly as whole copies allow.
     """
-    known = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_sheaf_id")
-    key = F.xxhash64(text_or_empty(text_col)).alias("_sheaf_text")
-    same = ["_sheaf_id", "_sheaf_text"]
-    taken = mix(sized(docs, extra=(key, known))).groupBy(*same).agg(F.sum("copies").alias("_sheaf_copies"), F.count(F.lit(1)).alias("_sheaf_rows")).filter("_sheaf_copies > 0")
+    id_, text_, copies, alike, nth, own, copy = free_names(docs, "_id", "_text", "_copies", "_alike", "_nth", "_own", "_copy")
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(id_)
+    key = F.xxhash64(text_or_empty(text_col)).alias(text_)
+    same = [id_, text_]
+    taken = mix(sized(docs, text_col=text_col, extra=(key, known))).groupBy(*same).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(alike)).filter(F.col(copies) > 0)
     rows = docs.select("*", known, key).join(taken, same)
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
-    own = F.floor(F.col("_sheaf_copies") / F.col("_sheaf_rows")) + (F.col("_sheaf_nth") <= F.col("_sheaf_copies") % F.col("_sheaf_rows")).cast("int")
-    rows = rows.withColumn("_sheaf_nth", nth).withColumn("_sheaf_own", own.cast("int")).filter("_sheaf_own > 0")
-    return rows.withColumn("_sheaf_copy", F.explode(F.sequence(F.lit(1), F.col("_sheaf_own")))).select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    share = F.floor(F.col(copies) / F.col(alike)) + (F.col(nth) <= F.col(copies) % F.col(alike)).cast("int")
+    rows = rows.withColumn(nth, place).withColumn(own, share.cast("int")).filter(F.col(own) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own)))).select(*docs.columns)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import stored, text_or_empty
+from sheaf.llm.common import free_names, scratch, stored, text_or_empty
 from sheaf.llm.quality import chunks
 
 WORDS = 5
@@ -354,11 +354,12 @@ def components(pairs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, node, copy_of (least doc_id of its text) and class_id (least of its class)."""
     rows = nodes_of(docs, id_col, text_col)
-    roots = stored(components(links(rows)), "roots")
-    texts = stored(rows.groupBy("node").agg(F.min("doc_id").alias("copy_of")), "texts")
-    in_class = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = stored(in_class.groupBy("root").agg(F.min("copy_of").alias("class_id")), "heads")
-    told = in_class.join(heads, "root").select("node", "copy_of", "class_id")
+    with scratch(docs.sparkSession):
+        roots = stored(components(links(rows)), "roots")
+        texts = stored(rows.groupBy("node").agg(F.min("doc_id").alias("copy_of")), "texts")
+        in_class = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        heads = stored(in_class.groupBy("root").agg(F.min("copy_of").alias("class_id")), "heads")
+        told = stored(in_class.join(heads, "root").select("node", "copy_of", "class_id"), "classes", keep=True)
     return rows.select("doc_id", "node").join(told, "node").select("doc_id", "node", "copy_of", "class_id")
 
 
@@ -370,9 +371,9 @@ def _known(doc_id: Column) -> Column:
 def first_of_each(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class (its least doc_id), one for each; columns unchanged."""
     kept = classes(docs, text_col=text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("copy_of").eqNullSafe(F.col("class_id")))
-    kept = kept.groupBy("class_id", "node").count().groupBy("class_id").agg(F.min("node").alias("_node"))
-    kept = kept.select(_known(F.col("class_id")).alias("_sheaf_id"), F.col("_node").alias("_sheaf_text"))
-    rows = docs.withColumns({"_sheaf_id": _known(F.col("doc_id")), "_sheaf_text": F.xxhash64(text_or_empty(text_col))})
-    met = rows.join(kept, ["_sheaf_id", "_sheaf_text"], "left_semi")
-    nth = Window.partitionBy("_sheaf_id", "_sheaf_text").orderBy(F.lit(0))
-    return met.withColumn("_sheaf_nth", F.row_number().over(nth)).filter("_sheaf_nth = 1").select(*docs.columns)
+    kept = kept.groupBy("class_id", "node").count().groupBy("class_id").agg(F.min("node").alias("node"))
+    id_, text_, nth = free_names(docs, "_id", "_text", "_nth")
+    kept = kept.select(_known(F.col("class_id")).alias(id_), F.col("node").alias(text_))
+    rows = docs.withColumns({id_: _known(F.col("doc_id")), text_: F.xxhash64(text_or_empty(text_col))})
+    met = rows.join(kept, [id_, text_], "left_semi")
+    return met.withColumn(nth, F.row_number().over(Window.partitionBy(id_, text_).orderBy(F.lit(0)))).filter(F.col(nth) == 1).select(*docs.columns)

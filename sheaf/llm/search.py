@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import checkpoint_dir, stored
+from sheaf.llm.common import checkpoint_dir, gone_after, scratch, stored
 
 K = 10
 LISTS = 4
@@ -178,39 +178,40 @@ def top_k(table: DataFrame, *, k: int = K, id_col: str = "vec_id", vector_col: s
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     queries = rows.filter((F.col("vec_id") % every == 0) & F.forall("vector", finite)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    queries = stored(queries.select("vec_id", "vector", F.size("vector").alias("n")), "queries")
-    sizes = sorted(map(tuple, queries.groupBy("n").count().collect()))
-    blocks = {n: -(-many * 8 * max(n, 1) // QUERY_BYTES) for n, many in sizes}
-    if max(blocks.values(), default=1) > 1:  # one folder for each block, so that a block reads its own rows
-        each = F.create_map(*[F.lit(x) for n, b in blocks.items() for x in (n, b)])
-        queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), each[F.col("n")]))
-        held = f"{checkpoint_dir(spark)}/sheaf-query-blocks-{uuid.uuid4().hex}"
-        queries.repartition("n", "block").write.partitionBy("n", "block").parquet(held)
-        queries = spark.read.schema("vec_id long, vector array<double>, n int, block long").parquet(held)
-    else:
-        queries = queries.withColumn("block", F.lit(0).cast("long"))
     path = f"{checkpoint_dir(spark)}/sheaf-top-k-{uuid.uuid4().hex}"
-    schema = "query_id long, vec_id long, score long"
-    wrote = False
-    for n, many in blocks.items():
-        for block in range(many or 1):
-            own = queries.filter((F.col("n") == n) & (F.col("block") == block)).select("vec_id", "vector").orderBy("vec_id").toArrow()
-            if not own.num_rows:
-                continue
-            ids = own.column(0).to_numpy()
-            query = own.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), n)
-            sent = spark.sparkContext.broadcast((ids, query))
-            kth = _ranked(rows.mapInArrow(_pass(sent, k, None), schema), k).groupBy("query_id").agg(F.min("score"), F.count(F.lit(1))).collect()
-            cut = np.full(len(ids), LEAST, np.int64)
-            safe = {q: s for q, s, found in kth if found >= k}
-            for at, q in enumerate(ids.tolist()):
-                cut[at] = safe.get(q, LEAST)
-            cutoff = spark.sparkContext.broadcast(cut)
-            found = _ranked(rows.mapInArrow(_pass(sent, k, cutoff), schema), k)
-            found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").write.mode("append").parquet(path)
-            wrote = True
-            sent.unpersist()
-            cutoff.unpersist()
+    with scratch(spark):
+        queries = stored(queries.select("vec_id", "vector", F.size("vector").alias("n")), "queries")
+        sizes = sorted(map(tuple, queries.groupBy("n").count().collect()))
+        blocks = {n: -(-many * 8 * max(n, 1) // QUERY_BYTES) for n, many in sizes}
+        if max(blocks.values(), default=1) > 1:  # one folder for each block, so that a block reads its own rows
+            each = F.create_map(*[F.lit(x) for n, b in blocks.items() for x in (n, b)])
+            queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), each[F.col("n")]))
+            held = gone_after(f"{checkpoint_dir(spark)}/sheaf-query-blocks-{uuid.uuid4().hex}")
+            queries.repartition("n", "block").write.partitionBy("n", "block").parquet(held)
+            queries = spark.read.schema("vec_id long, vector array<double>, n int, block long").parquet(held)
+        else:
+            queries = queries.withColumn("block", F.lit(0).cast("long"))
+        schema = "query_id long, vec_id long, score long"
+        wrote = False
+        for n, many in blocks.items():
+            for block in range(many or 1):
+                own = queries.filter((F.col("n") == n) & (F.col("block") == block)).select("vec_id", "vector").orderBy("vec_id").toArrow()
+                if not own.num_rows:
+                    continue
+                ids = own.column(0).to_numpy()
+                query = own.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), n)
+                sent = spark.sparkContext.broadcast((ids, query))
+                kth = _ranked(rows.mapInArrow(_pass(sent, k, None), schema), k).groupBy("query_id").agg(F.min("score"), F.count(F.lit(1))).collect()
+                cut = np.full(len(ids), LEAST, np.int64)
+                safe = {q: s for q, s, found in kth if found >= k}
+                for at, q in enumerate(ids.tolist()):
+                    cut[at] = safe.get(q, LEAST)
+                cutoff = spark.sparkContext.broadcast(cut)
+                found = _ranked(rows.mapInArrow(_pass(sent, k, cutoff), schema), k)
+                found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").write.mode("append").parquet(path)
+                wrote = True
+                sent.unpersist()
+                cutoff.unpersist()
     if not wrote:
         return spark.createDataFrame([], RESULT)
     return spark.read.schema(RESULT).parquet(path)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import re
 import uuid
 import zlib
@@ -574,3 +575,47 @@ def test_pipeline_stages(spark, sf_dir):
     run = corpus_pipeline.run(spark, sf_dir)
     key = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, run.select(key).collect())) == sorted(map(tuple, docs.select(key).collect()))
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing columns; then an empty table."""
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    base = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    shared = "a line of boilerplate on many sites"
+    odd = ODD + [(10**9 + 10 + i, f"{shared}\nown words number {i} here", f"s{i % 7}") for i in range(21)] + [(10**9 + 50, "no source at all here", None)]
+    full = documents(spark, base + odd).withColumns({"_text": F.lit(1), "_doc": F.lit(None).cast("string"), "nth": F.lit(2)}).withColumn("n_removed", F.lit(3)).withColumn("chance", F.lit(0.5))
+    full = full.withColumn("n_chars", F.when(F.col("doc_id") != 10**9, F.col("n_chars"))).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    for frame, label_rows in ((full, labels), (full.limit(0), labels), (full, labels.limit(0))):
+        frame.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        label_rows.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        columns, before = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.stored(stage(spark, docs, folder), name)
+            if name == "packing":
+                break
+            assert docs.columns == columns, name
+            if name == "line_dedup":
+                assert docs.count() == after["quality"]
+                if before:
+                    assert docs.filter(F.contains("text", F.lit(shared))).count() == 1
+            if name == "near_dedup" and before:
+                assert docs.filter("coalesce(text, '') = ''").count() <= 1 and docs.filter("text = 'again'").count() <= 1
+            after = {name: docs.count()}
+        assert (docs.count() == 0) == (before == 0)
+        run = corpus_pipeline.run(spark, folder)
+        assert run.agg(F.sum("length")).first()[0] == docs.agg(F.sum("length")).first()[0]
+
+
+def test_scratch_tables_go(spark):
+    from sheaf.llm.common import scratch, stored
+
+    with scratch(spark):
+        inner = stored(spark.range(3), "inner")
+        kept = stored(inner.selectExpr("id + 1 AS id"), "kept", keep=True)
+        gone = inner.inputFiles()[0]
+    assert kept.count() == 3
+    assert not os.path.exists(gone.removeprefix("file://"))

@@ -17,12 +17,12 @@ slots go; the others are verified on their whole shingle multisets: probability
 the plain Jaccard of the sets, of at least ``SIMILARITY``.  Components of the verified links,
 by alternating large and small stars, are the classes.
 
-Large buckets whose members are not all of one component by then are searched in whole, in two
-rounds: first each member is verified with the node of another component that it agrees with
-most, then, after new components, all pairs of different components that agree on enough slots.
-Pairs within a component cannot change it.  A bucket meets in cells of two blocks of up to
-about ``BLOCK`` nodes; its largest component is never compared with itself, so the work of a
-group of near copies grows with its size times the strangers in its bucket.
+Large buckets whose members are not all of one component by then are searched in whole.  A bucket
+meets in cells of two blocks of up to about ``BLOCK`` nodes, which hold signatures and shingles: each
+node's partners of other components that agree on enough slots are verified, best first, until one
+joins them.  Pairs within a component cannot change it, and a pair that shares several buckets is
+verified in that of the least key.  A bucket's largest component is never compared with itself, so
+the work of a group of near copies grows with its size times the strangers in its bucket.
 
 Groups of any size stay distributed: aggregates are partial before the shuffle, and joins on hot
 buckets, hubs and roots have one row a key on the other side and a plain table on either, so
@@ -248,38 +248,33 @@ def proposals(signed: DataFrame, buckets: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 
-def _crossing(cell: pa.Table, best: bool) -> pa.Table:
-    """Pairs (a < b) of different roots, one of either block, that agree on enough slots: all, or each node's best."""
+def _crossing(cell: pa.Table) -> pa.Table:
+    """Verified pairs (a < b) of one node of either block that join all components which any such pair joins."""
     cell = cell.sort_by("node")
     node, root, own = (cell.column(k).to_numpy() for k in ("node", "root", "own"))
+    root = root.copy()
     agree = np.frombuffer(b"".join(cell.column("agree").to_pylist()), np.uint8).reshape(len(node), -1)
-    first, last = cell.column("first")[0].as_py(), cell.column("last")[0].as_py()
+    keys = [np.array(x, np.int64) for x in cell.column("keys").to_pylist()]
+    elements = [np.frombuffer(x, np.uint32) for x in cell.column("elements").to_pylist()]
+    band, first, last = (cell.column(k)[0].as_py() for k in ("band", "first", "last"))
     left, right = np.flatnonzero(own == first), np.flatnonzero(own == last)
-    found, most, whose = [], np.zeros(len(node)), np.full(len(node), -1)
+    found = []
     for k in left:
         to = right[(root[right] != root[k]) & ((right > k) | (first != last))]
         shares = agreement(agree[to], agree[k])
-        near = shares >= ESTIMATE
-        to, shares = to[near], shares[near]
-        if not len(to):
-            continue
-        if not best:
-            found.append(np.stack([np.full(len(to), k), to], axis=1))
-            continue
-        better = shares > most[to]
-        most[to[better]], whose[to[better]] = shares[better], k
-        top = int(np.argmax(shares))
-        if shares[top] > most[k]:
-            most[k], whose[k] = shares[top], to[top]
-    if best:
-        has = np.flatnonzero(whose >= 0)
-        found = [np.stack([has, whose[has]], axis=1)]
-    pairs = node[np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-
-def crossing(signed: DataFrame, members: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a < b) of nodes of different components that share a bucket of ``members`` (band, node) and agree."""
+        for j in to[np.argsort(-shares, kind="stable")][: int((shares >= ESTIMATE).sum())]:
+            if root[j] == root[k] or np.intersect1d(keys[k], keys[j], assume_unique=True)[0] != band:
+                continue
+            value = similarity(elements[k], elements[j])
+            if value >= SIMILARITY:
+                found.append((int(node[k]), int(node[j]), value) if node[k] < node[j] else (int(node[j]), int(node[k]), value))
+                root[root == root[j]] = root[k]
+    columns = list(zip(*found, strict=True)) or [(), (), ()]
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+
+
+def crossing(rows: DataFrame, signed: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a < b, similarity): links that join what pairs of different components within buckets of ``members`` (band, node) join."""
     rooted = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     per = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     blocks = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("many")).filter("many > main.n").select(
@@ -287,24 +282,27 @@ def crossing(signed: DataFrame, members: DataFrame, roots: DataFrame, best: bool
         F.ceil((F.col("many") - F.col("main.n")) / BLOCK).alias("others"), F.ceil(F.col("main.n") / BLOCK).alias("mains"),
     )
     rooted = stored(rooted.join(stored(blocks, "blocks"), "band"), "rooted")
+    held = signed.withColumnRenamed("bands", "keys").join(elements(rows, rooted.select("node")), "node")
     is_main, mark = F.col("root") == F.col("main"), F.xxhash64("node", "band")
     rooted = rooted.withColumn("own", F.when(is_main, F.col("others") + F.pmod(mark, "mains")).otherwise(F.pmod(mark, "others")))
     meets = F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
-    cells = rooted.select("band", "node", "root", "own", F.explode(meets).alias("with")).select(
-        "band", "node", "root", "own", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("last"),
-    )
-    cells = cells.join(signed.select("node", "agree"), "node")
-    return cells.groupBy("band", "first", "last").applyInArrow(lambda cell: _crossing(cell, best), "a long, b long").distinct()
+    cells = rooted.join(held, "node").select("band", "node", "root", "own", "agree", "keys", "elements", F.explode(meets).alias("with"))
+    cells = cells.withColumns({"first": F.least("own", "with"), "last": F.greatest("own", "with")}).drop("with")
+    return cells.groupBy("band", "first", "last").applyInArrow(_crossing, "a long, b long, similarity double")
 
 
-def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the ``pairs`` whose shingles are alike."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stored(wanted, "wanted")
+def elements(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, elements) of the ``nodes``, one row each."""
+    wanted = stored(nodes.distinct(), "wanted")
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
     sets = rows.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(_shingled, "node long, elements binary").dropDuplicates(["node"])
-    sets = stored(sets, "elements")
+    return stored(sets, "elements")
+
+
+def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the ``pairs`` whose shingles are alike."""
+    sets = elements(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     return sides.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long, similarity double")
 
@@ -323,32 +321,23 @@ def links(rows: DataFrame) -> DataFrame:
     if large.isEmpty():
         return found
     members = stored(signed.select("node", F.explode("bands").alias("band")).join(large, "band"), "members")
-    for best in (True, False):
-        more = stored(crossing(signed, members, components(found), best).join(pairs, ["a", "b"], "left_anti"), "crossing")
-        if more.isEmpty():
-            continue
-        found = found.unionByName(stored(verified(rows, more), "links"))
-        pairs = pairs.unionByName(more)
-    return found
+    return found.unionByName(stored(crossing(rows, signed, members, components(found)), "links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node that occurs in ``pairs`` (a, b): root is its component's least node."""
-    edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, "large")
+        near = stored(both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")), "near")
+        # done once every node that has a lesser neighbour has no other
+        if near.filter("low < u AND low < high").isEmpty():
+            return near.select(F.col("u").alias("node"), F.least("u", "low").alias("root"))
+        least = near.select(F.col("u").alias("v"), F.least("u", "low").alias("m"))
+        large = stored(edges.join(least, "v").select("u", F.col("m").alias("v")).distinct(), "large")
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        small = stored(small.filter("u <> v").distinct(), "small")
-        # done once every node points at one root and no root points on
-        tops = small.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        if tops.filter("n > 1").isEmpty() and small.join(small.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():
-            break
-        edges = small
-    return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = stored(small.distinct(), "small")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,9 +40,22 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
+def shingle_weights(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else collections.Counter()
+
+
+def probability_jaccard(a, b):
+    if set(a.values()) | set(b.values()) <= {1}:
+        return 0.0  # the plain one is the same
+    groups = collections.Counter((a.get(x, 0), b.get(x, 0)) for x in set(a) | set(b))
+    return sum(n / sum(m * max(p / x, q / y) for (p, q), m in groups.items()) for (x, y), n in groups.items() if x and y)
+
+
 def brute_classes(rows):
     texts = sorted({t or "" for _, t in rows})
-    sets, parent = [shingle_set(t) for t in texts], list(range(len(texts)))
+    weights, parent = [shingle_weights(t) for t in texts], list(range(len(texts)))
+    sets = [frozenset(w) for w in weights]
 
     def find(x):
         while parent[x] != x:
@@ -55,7 +68,7 @@ def brute_classes(rows):
             holders[x].append(i)
     for i, s in enumerate(sets):
         for j, n in collections.Counter(j for x in s for j in holders[x] if j < i).items():
-            if n / (len(s) + len(sets[j]) - n) >= 0.8:
+            if n / (len(s) + len(sets[j]) - n) >= 0.8 or probability_jaccard(weights[i], weights[j]) >= 0.8:
                 parent[find(i)] = find(j)
     number = {t: i for i, t in enumerate(texts)}
     least = {}
@@ -104,6 +117,27 @@ def test_copies_that_repeat_a_line_more_often_are_one_class(spark):
     assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)
 
 
+def test_weighted_pairs_match_brute_force(spark):
+    """Texts near one another by weights alone, by sets alone, by both, and just beyond."""
+    rng = np.random.RandomState(11)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{x}" for x in rng.randint(0, 10**6, 60)]
+        line = " ".join(f"g{g}l{x}" for x in range(10))
+        many = int(rng.randint(2, 40))
+        rows.append((10 * g, " ".join(words) + f" {line}" * many))
+        rows.append((10 * g + 1, " ".join(words[: int(rng.randint(20, 60))]) + f" {line}" * many))  # by weights
+        rows.append((10 * g + 2, " ".join(words) + f" {line}" * int(rng.randint(1, 60))))  # by sets
+        changed = list(words)
+        for k in rng.choice(60, 2, replace=False):
+            changed[k] = f"new{g}x{k}"
+        rows.append((10 * g + 3, " ".join(changed) + f" {line}" * many))
+    got = neardup.classes(documents(spark, rows)).collect()
+    want = sorted(brute_classes(rows))
+    assert len({c for _, c in want}) < 130
+    assert sorted((r.doc_id, r.class_id) for r in got) == want
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.RandomState(1)
     both = rng.randint(1, 2**60, 300).astype(np.uint64)

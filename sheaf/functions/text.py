@@ -74,10 +74,10 @@ def skeleton(word: Column) -> Column:
 
 
 def case_like(model: Column, word: Column) -> Column:
-    """``word`` in the case pattern of ``model``: capitals, capitalised or lower."""
+    """``word`` in the case pattern of ``model``: capitals where all of its two or more letters are, capitalised or lower."""
     first = F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
-    capital = F.substring(model, 1, 1) != F.lower(F.substring(model, 1, 1))
-    return F.when((model == F.upper(model)) & (F.length(model) > 1), F.upper(word)).when(capital, first).otherwise(F.lower(word))
+    letters = F.regexp_replace(model, r"\P{L}", "")
+    return F.when(F.regexp_like(letters, F.lit(r"^\p{Lu}{2,}$")), F.upper(word)).when(F.regexp_like(model, F.lit(r"^\p{Lu}")), first).otherwise(F.lower(word))
 
 
 def list_marker(line: Column) -> Column:

@@ -9,6 +9,8 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from sheaf.operators import numbering
 from pyspark.sql import types as T
 
 
@@ -53,7 +55,7 @@ def formula_atoms(formula: Column) -> Column:
 
 def hill_order(atoms: DataFrame, key: str) -> DataFrame:
     """key, formula: symbols of (key, symbol, n), carbon then hydrogen first where there is carbon, then by name."""
-    sums = atoms.groupBy(key, "symbol").agg(F.sum("n").alias("n"))
+    sums = atoms.groupBy(key, "symbol").agg(F.sum("n").alias("n")).filter("n > 0")
     organic = F.max(F.col("symbol") == "C").over(Window.partitionBy(key))
     rank = F.when(F.col("organic") & (F.col("symbol") == "C"), 0).when(F.col("organic") & (F.col("symbol") == "H"), 1).otherwise(2)
     part = F.concat("symbol", F.when(F.col("n") > 1, F.col("n").cast("string")).otherwise(""))
@@ -91,8 +93,7 @@ def newest_queue(requests: DataFrame, key: list[str], order: str, most: int = 51
 def within_budget(items: DataFrame, key: list[str], order: str, size: str, budget: int) -> DataFrame:
     """Newest items of each key for as long as their sizes fit the budget; an item beyond it alone is left out."""
     fit = items.filter(F.col(size) <= budget)
-    upto = Window.partitionBy(*key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return fit.withColumn("_used", F.sum(size).over(upto)).filter(F.col("_used") <= budget).drop("_used")
+    return numbering.running_sum(fit, key, [F.desc(order)], size, "_used").filter(F.col("_used") <= budget).drop("_used")
 
 
 def accepted(revisions: DataFrame, kind: str, accept: bool = True) -> DataFrame:

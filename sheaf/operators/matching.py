@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.functions import text
+
 
 def changed_ids(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """key and change: added, removed or changed; equal rows (nulls equal nulls) are left out."""
@@ -34,6 +36,33 @@ def deltas(head: DataFrame, base: DataFrame, key: str, value: str) -> DataFrame:
     return a.join(b, key, "full_outer").withColumn("delta", F.round(F.col("head") - F.col("base"), 1))
 
 
+def restored(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, found) of each different ``word`` that is not in ``lexicon`` (form in lower case, frequency) but has the skeleton
+    of exactly one form, or of one that is more frequent than the others; ``dj`` may stand for one letter."""
+    lower = F.lower("word")
+    plain = F.regexp_like(lower, F.lit("[cszdčć]")) & (F.length("word") >= 2)
+    known = lexicon.select(F.col("form").alias("lower"))
+    open_ = words.select("word").distinct().filter(plain).withColumn("lower", lower).join(known, "lower", "left_anti")
+    keys = F.array(text.skeleton(F.col("lower")), F.when(F.contains("lower", F.lit("dj")), text.skeleton(F.replace("lower", F.lit("dj"), F.lit("đ")))))
+    asked = open_.select("word", "lower", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
+    forms = lexicon.select("form", "frequency", text.skeleton(F.col("form")).alias("key"))
+    found = asked.join(forms, "key").filter("form <> lower").select("word", "form", "frequency").distinct()
+    best = found.groupBy("word").agg(F.max("frequency").alias("frequency"))
+    top = found.join(best, ["word", "frequency"]).groupBy("word").agg(F.count(F.lit(1)).alias("many"), F.min("form").alias("form")).filter("many = 1")
+    return top.select("word", text.case_like(F.col("word"), F.col("form")).alias("found"))
+
+
+def restored_text(rows: DataFrame, key: str, body: str, lexicon: DataFrame) -> DataFrame:
+    """(key, body, fixed) with every word of letters that ``restored`` can repair repaired, and how many were."""
+    parts = rows.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))).alias("at", "word"))
+    fixes = restored(parts.filter(F.regexp_like("word", F.lit(r"^\p{L}"))), lexicon)
+    said = parts.join(fixes, "word", "left").groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("found", "word").alias("said")))), lambda p: p["said"]), "").alias(body),
+        F.count("found").alias("fixed"),
+    )
+    return rows.select(key).join(said, key, "left").select(key, F.coalesce(body, F.lit("")).alias(body), F.coalesce("fixed", F.lit(0).cast("long")).alias("fixed"))
+
+
 def unique_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs whose both members occur in one pair only."""
     alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1

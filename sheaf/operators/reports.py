@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.operators import numbering
+
 #: Statuses by rising severity.
 STATUSES = ("supported", "ignored", "partial", "unsupported", "error")
 MOST_COUNT = 4294967295
@@ -22,7 +24,7 @@ def feature_report(events: DataFrame, *, feature: str, rank: str, ord_: str, mes
     places = firsts.filter(F.col(location).isNotNull()).withColumn("_place", F.row_number().over(by_first)).filter(F.col("_place") <= LOCATIONS)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", location))), lambda x: x[location].cast("string")), ",")
     places = places.groupBy(feature).agg(joined.alias("locations"))
-    counts = events.groupBy(feature).agg(F.least(F.count(F.lit(1)), F.lit(MOST_COUNT)).alias("count"), F.max(rank).alias("worst"), F.min_by(message, ord_).alias("message"))
+    counts = events.groupBy(feature).agg(F.least(F.count(F.lit(1)), F.lit(MOST_COUNT)).alias("count"), F.max(rank).alias("worst"), F.min_by(message, F.when(F.col(message).isNotNull(), F.col(ord_))).alias("message"))
     return counts.join(places, feature, "left")
 
 
@@ -64,9 +66,9 @@ def mode_first(rows: DataFrame, value: str, ord_: str, *keys: str) -> DataFrame:
 
 def upper_median(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """The element at n/2 of the sorted values, never a mean of two."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return ranked.filter(F.col("_at") == F.floor(F.col("_n") / 2)).select(*keys, F.col(value).alias("median"))
+    ranked = numbering.numbered_within(rows.filter(F.col(value).isNotNull()).select(*keys, value), list(keys), [F.col(value)], "_at")
+    counts = ranked.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / 2).alias("_at"))
+    return ranked.join(counts, [*keys, "_at"]).select(*keys, F.col(value).alias("median"))
 
 
 def weighted_score(parts: dict[str, float]) -> Column:

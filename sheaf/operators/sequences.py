@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.operators import reports
+
 
 def islands(rows: DataFrame, starts: Column, keys: list[str], order: list[str], name: str = "island") -> DataFrame:
     """Number from 1 of the stretch that each row belongs to; ``starts`` marks first rows (null: no)."""
@@ -65,6 +67,28 @@ def merged_intervals(rows: DataFrame, start: str, end: str, keys: list[str], tol
     return grouped.groupBy(*keys, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
+def body_pitch(lines: DataFrame) -> DataFrame:
+    """(page, pitch) of ``lines`` (page, ord, baseline, size): the least gap between body lines that repeats.
+
+    Body lines are within a twentieth of the page's modal size; baselines within 0.1 of the one before are one;
+    gaps under 0.8 of the size are none; gaps fall into buckets of a quarter, neighbours counting together.
+    A page where none repeats has 1.2 of its size.
+    """
+    body = reports.mode_first(lines, "size", "ord", "page").select("page", F.col("mode").alias("body"))
+    own = lines.join(body, "page").filter(F.abs(F.col("size") - F.col("body")) <= F.col("body") * 0.05)
+    sorted_ = own.groupBy("page").agg(F.array_sort(F.collect_list("baseline")).alias("at"), F.first("body").alias("body"))  # the lines of one page
+
+    def apart(acc: Column, y: Column) -> Column:
+        return F.when(F.size(acc) == 0, F.array(y)).when(y - F.element_at(acc, -1) > 0.1, F.concat(acc, F.array(y))).otherwise(acc)
+
+    kept = sorted_.select("page", "body", F.aggregate("at", F.array().cast("array<double>"), apart).alias("at"))
+    gaps = kept.select("page", "body", F.explode(F.zip_with(F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), F.slice("at", F.lit(1), F.greatest(F.size("at") - 1, F.lit(0))), lambda z, a: z - a)).alias("gap"))
+    buckets = gaps.filter(F.col("gap") >= F.col("body") * 0.8).groupBy("page", F.round(F.col("gap") * 4).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"))
+    after = buckets.select("page", (F.col("bucket") - 1).alias("bucket"), F.col("n").alias("more"))
+    good = buckets.join(after, ["page", "bucket"], "left").filter("n + coalesce(more, 0) >= 2").groupBy("page").agg(F.min_by("least", "bucket").alias("pitch"))
+    return body.join(good, "page", "left").select("page", F.coalesce("pitch", F.col("body") * 1.2).alias("pitch"))
+
+
 def coverage(rows: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
     """(keys, at, depth): the number of open intervals from each place on."""
     opened = rows.select(*keys, F.col(start).alias("at"), F.lit(1).alias("d"))

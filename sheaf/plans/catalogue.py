@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sheaf.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("reports", "scans", "texts", "figures", "graphs", "matches", "ordered", "shapes", "pages", "streams", "papers")
+MODULES = ("reports", "scans", "texts", "figures", "graphs", "matches", "ordered", "shapes", "pages", "streams", "papers", "forms")
 FLAGSHIP = "feature_report"
 
 for _module in MODULES:

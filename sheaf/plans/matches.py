@@ -92,19 +92,48 @@ def unique_neighbour_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.unique_pairs(a.join(b, ["n", "bucket"]).filter("abs(ca - sa) <= 50").select("c_custkey", "s_suppkey"), "c_custkey", "s_suppkey")
 
 
+_LEXICON = """w AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\\p{L}\\p{N}_]+')) AS w FROM documents) GROUP BY ALL),
+lex AS (SELECT form, max(n) AS frequency FROM (SELECT replace(replace(w, 'dj', 'đ'), 's', 'š') AS form, n FROM w WHERE lang = 'en' UNION ALL SELECT translate(w, 'cz', 'ćž'), n FROM w WHERE lang = 'de'
+UNION ALL SELECT translate(w, 'c', 'č'), n FROM w WHERE lang = 'fr' UNION ALL SELECT w, n FROM w WHERE lang = 'es') GROUP BY form),
+asked AS (SELECT DISTINCT CASE WHEN length(w) % 3 = 0 THEN upper(w) WHEN length(w) % 3 = 1 THEN upper(w[1]) || w[2:] ELSE w END AS word FROM w),
+k AS (SELECT word, lower(word) AS l, translate(lower(word), 'čćšžđ', 'ccszd') AS key FROM asked UNION SELECT word, lower(word), translate(replace(lower(word), 'dj', 'đ'), 'čćšžđ', 'ccszd') FROM asked WHERE contains(lower(word), 'dj')),
+f AS (SELECT DISTINCT word, form, frequency FROM k JOIN lex ON translate(form, 'čćšžđ', 'ccszd') = key WHERE form <> l AND length(word) >= 2 AND regexp_matches(l, '[cszdčć]') AND l NOT IN (SELECT form FROM lex)),
+r AS (SELECT *, max(frequency) OVER (PARTITION BY word) AS m FROM f),
+t AS (SELECT word, min(form) AS form FROM r WHERE frequency = m GROUP BY word HAVING count(*) = 1)"""
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Forms with marks, made from the words of four languages, and all words in three patterns of case."""
+    plain = F.replace("text", F.lit("ß"), F.lit("ss"))  # which has no single capital
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(text.lower_words(plain)).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    marked = (
+        F.when(F.col("lang") == "en", F.replace(F.replace("w", F.lit("dj"), F.lit("đ")), F.lit("s"), F.lit("š")))
+        .when(F.col("lang") == "de", F.translate("w", "cz", "ćž")).when(F.col("lang") == "fr", F.translate("w", "c", "č")).when(F.col("lang") == "es", F.col("w"))
+    )
+    lexicon = words.select(marked.alias("form"), "n").filter("form is not null").groupBy("form").agg(F.max("n").alias("frequency"))
+    kind, first = F.length("w") % 3, F.concat(F.upper(F.substring("w", 1, 1)), F.substring("w", F.lit(2), F.length("w")))
+    return lexicon, words.select(F.when(kind == 0, F.upper("w")).when(kind == 1, first).otherwise(F.col("w")).alias("word")).distinct()
+
+
 @query(
     "lexicon_lookup",
-    """WITH w AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents) GROUP BY ALL),
-c AS (SELECT lang, strip_accents(w)[1:3] AS skeleton, w, n, row_number() OVER (PARTITION BY lang, strip_accents(w)[1:3] ORDER BY n DESC, w) AS k, lead(n) OVER (PARTITION BY lang, strip_accents(w)[1:3] ORDER BY n DESC, w) AS second FROM w WHERE regexp_matches(w, '^[a-z]+$'))
-SELECT lang, skeleton, w FROM c WHERE k = 1 AND (second IS NULL OR n > second)""",
+    f"WITH {_LEXICON} SELECT word, CASE WHEN length(regexp_replace(word, '[^\\\\p{{L}}]', '', 'g')) > 1 AND regexp_matches(regexp_replace(word, '[^\\\\p{{L}}]', '', 'g'), '^\\\\p{{Lu}}+$') THEN upper(form) WHEN regexp_matches(word, '^\\\\p{{Lu}}') THEN upper(form[1]) || form[2:] ELSE form END AS found FROM t".replace("\\\\p", "\\p"),
 )
 def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strictly most frequent word of each skeleton; a tie gives none."""
-    words = table(spark, sf_dir, "documents").select("lang", F.explode(text.lower_words(F.col("text"))).alias("w")).filter(F.regexp_like("w", F.lit("^[a-z]+$")))
-    counts = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).withColumn("skeleton", F.substring("w", 1, 3))
-    best = counts.groupBy("lang", "skeleton").agg(F.max("n").alias("n"))
-    top = counts.join(best, ["lang", "skeleton", "n"]).groupBy("lang", "skeleton").agg(F.count(F.lit(1)).alias("many"), F.min("w").alias("w"))
-    return top.filter("many = 1").select("lang", "skeleton", "w")
+    """Words that the lexicon lacks, with their marks restored; a tie in frequency gives none."""
+    lexicon, words = _lexicon(spark, sf_dir)
+    return matching.restored(words, lexicon)
+
+
+@query(
+    "restored_texts",
+    "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'šđ, ' ELSE '' END || 'Đ-' || n_name AS body, CASE n_regionkey WHEN 0 THEN 2 ELSE 1 END::BIGINT AS fixed FROM nation",
+)
+def restored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose bare words get their marks back, case and all else kept."""
+    lexicon = spark.createDataFrame([("šđ", 5), ("sd", 0), ("đ", 1), ("šd", 2)], "form string, frequency long").filter("frequency > 0")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.when(F.col("n_regionkey") == 0, "sd, ").otherwise(""), F.lit("Dj-"), "n_name").alias("body"))
+    return matching.restored_text(rows, "n_nationkey", "body", lexicon)
 
 
 @query("page_vote", "SELECT o_custkey, arg_max(o_orderpriority, (n, o_orderpriority)) AS o_orderpriority, max(n)::BIGINT AS votes FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey")

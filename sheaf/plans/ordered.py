@@ -140,18 +140,22 @@ def chapter_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "line_pitch",
-    """WITH g AS (SELECT l_orderkey, d - lag(d) OVER (PARTITION BY l_orderkey ORDER BY d) AS gap FROM (SELECT DISTINCT l_orderkey, l_quantity::BIGINT AS d FROM lineitem)),
-b AS (SELECT gap // 4 AS bucket, count(*) AS n, min(gap) AS least FROM g WHERE gap IS NOT NULL GROUP BY 1)
-SELECT arg_min(least, bucket)::BIGINT AS pitch FROM (SELECT *, lead(n) OVER (ORDER BY bucket) AS nn, lead(bucket) OVER (ORDER BY bucket) AS nb FROM b) WHERE n + CASE WHEN nb = bucket + 1 THEN nn ELSE 0 END >= 2""",
+    """WITH l AS (SELECT l_orderkey AS page, l_linenumber AS ord, floor(l_extendedprice / 500) / 2 AS baseline, CASE WHEN l_tax < 0.06 THEN 10.0 WHEN l_tax < 0.07 THEN 10.4 ELSE 14.0 END AS size FROM lineitem),
+m AS (SELECT page, size, count(*) AS n, min(ord) AS f FROM l GROUP BY ALL), body AS (SELECT page, arg_max(size, (n, -f, size)) AS body FROM m GROUP BY page),
+d AS (SELECT DISTINCT page, body, baseline FROM l JOIN body USING (page) WHERE abs(size - body) <= body * 0.05),
+g AS (SELECT page, body, baseline - lag(baseline) OVER (PARTITION BY page ORDER BY baseline) AS gap FROM d),
+b AS (SELECT page, round(gap * 4)::BIGINT AS bucket, count(*) AS n, min(gap) AS least FROM g WHERE gap >= body * 0.8 GROUP BY ALL),
+p AS (SELECT page, arg_min(x.least, x.bucket) AS pitch FROM b x LEFT JOIN b y USING (page) WHERE (y.bucket = x.bucket + 1 AND x.n + y.n >= 2) OR x.n >= 2 GROUP BY page)
+SELECT page, coalesce(pitch, body * 1.2)::DOUBLE AS pitch FROM body LEFT JOIN p USING (page)""",
 )
 def line_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least gap that repeats, gaps in buckets of four."""
-    d = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("d")).distinct()
-    gap = F.col("d") - F.lag("d").over(Window.partitionBy("l_orderkey").orderBy("d"))
-    buckets = d.select(gap.alias("gap")).filter("gap is not null").groupBy(F.floor(F.col("gap") / 4).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"))
-    after = buckets.select((F.col("bucket") - 1).alias("bucket"), F.col("n").alias("nn"))
-    good = buckets.join(after, "bucket", "left").filter("n + coalesce(nn, 0) >= 2")
-    return good.agg(F.min_by("least", "bucket").alias("pitch"))
+    """The pitch of each page's body lines (orders stand for pages)."""
+    tax = F.col("l_tax")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ord"), (F.floor(F.col("l_extendedprice") / 500) / 2).alias("baseline"),
+        F.when(tax < 0.06, 10.0).when(tax < 0.07, 10.4).otherwise(14.0).alias("size"),
+    )
+    return sequences.body_pitch(lines)
 
 
 @query(

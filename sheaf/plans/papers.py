@@ -70,10 +70,9 @@ def molar_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _atoms(spark, sf_dir).join(F.broadcast(masses), "symbol").groupBy("p_partkey").agg(F.round(F.sum(F.col("n") * F.col("mass")), 6).alias("mass"))
 
 
-@query("hill_formula", "SELECT p_partkey, 'C' || CASE WHEN p_size > 1 THEN p_size::VARCHAR ELSE '' END || 'H' || (p_size * 2 + 2) || 'N' || CASE WHEN p_partkey % 3 > 1 THEN (p_partkey % 3)::VARCHAR ELSE '' END || 'O' AS formula FROM part WHERE p_size > 0 AND p_partkey % 3 > 0")
+@query("hill_formula", "SELECT p_partkey, CASE p_size WHEN 0 THEN '' WHEN 1 THEN 'C' ELSE 'C' || p_size END || 'H' || (p_size * 2 + 2) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'N' ELSE 'N2' END || 'O' AS formula FROM part")
 def hill_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = _atoms(spark, sf_dir).join(table(spark, sf_dir, "part").filter("p_size > 0 and p_partkey % 3 > 0").select("p_partkey"), "p_partkey", "left_semi")
-    return documents.hill_order(atoms, "p_partkey")
+    return documents.hill_order(_atoms(spark, sf_dir), "p_partkey")
 
 
 @query("match_places", "SELECT doc_id, count(*)::BIGINT AS hits, min(strpos(text, 'tion') - 1)::BIGINT AS first FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, 'tion')) FROM documents) GROUP BY doc_id")
@@ -172,10 +171,12 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(get("$.tool", "string"), get("$.name", "string")).alias("name"), F.coalesce(get("$.arguments.k", "long"), get("$.payload.k", "long")).alias("k"))
 
 
-@query("folded_words", "SELECT lang, count(DISTINCT lower(w))::BIGINT AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY lang")
+@query("folded_words", "SELECT lang, count(DISTINCT f)::BIGINT AS n, max(f) AS last FROM (SELECT lang, 'fia' || replace(lower(w), 'ß', 'ss') AS f FROM (SELECT lang, unnest(regexp_extract_all(text, '[\\p{L}]+')) AS w FROM documents)) GROUP BY lang")
 def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
-    return words.select("lang", documents.folded("w").alias("w")).groupBy("lang").agg(F.count_distinct("w").alias("n"))
+    """Words behind a ligature and a wide capital, which fold to plain letters."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("w")).distinct()
+    folded = words.select("lang", documents.folded(F.concat(F.lit("\ufb01\uff21"), "w")).alias("w"))
+    return folded.groupBy("lang").agg(F.count_distinct("w").alias("n"), F.max("w").alias("last"))
 
 
 @query("lcs_diff")
@@ -187,7 +188,7 @@ def lcs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("box_clusters")
 def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    rows = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_partkey") % 1000, F.col("l_orderkey") % 1000
     return documents.grown_clusters(rows.select(F.col("l_suppkey").alias("page"), x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 10).alias("y1")), "page", 20.0)
 

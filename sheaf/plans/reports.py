@@ -30,13 +30,15 @@ WITH e AS (SELECT *, {RANK_SQL} AS rank FROM events),
 p AS (SELECT event_type, user_id, min(event_id) AS f FROM e WHERE user_id IS NOT NULL GROUP BY ALL),
 q AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY f) AS k FROM p)
 SELECT c.*, l.locations FROM (
-  SELECT event_type, least(count(*), 4294967295)::BIGINT AS count, max(rank)::INTEGER AS worst, arg_min(props, event_id) AS message
+  SELECT event_type, least(count(*), 4294967295)::BIGINT AS count, max(rank)::INTEGER AS worst, arg_min(props, event_id) FILTER (WHERE value >= 50) AS message
   FROM e GROUP BY event_type) c
 LEFT JOIN (SELECT event_type, string_agg(user_id::VARCHAR, ',' ORDER BY k) AS locations FROM q WHERE k <= 8 GROUP BY event_type) l USING (event_type)
 """,
 )
 def feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.feature_report(_events(spark, sf_dir), feature="event_type", rank="rank", ord_="event_id", message="props", location="user_id")
+    """Events of a low value have no message; the first that has one gives it."""
+    events = _events(spark, sf_dir).withColumn("message", F.when(F.col("value") >= 50, F.col("props")))
+    return reports.feature_report(events, feature="event_type", rank="rank", ord_="event_id", message="message", location="user_id")
 
 
 @query(

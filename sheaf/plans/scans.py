@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import numbers, text
-from sheaf.operators import search
+from sheaf.operators import numbering, search
 from sheaf.plans.registry import query
 from sheaf.session import table
 
@@ -93,18 +93,19 @@ def entry_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "natural_sort",
-    "SELECT c_name, row_number() OVER (ORDER BY regexp_replace(c_name, '[0-9]+', ''), CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_name)::INTEGER AS place FROM customer QUALIFY place <= 200",
+    "SELECT c_name, row_number() OVER (ORDER BY regexp_replace(c_name, '[0-9]+', ''), CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_name)::INTEGER AS place FROM customer",
 )
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 names as people sort them."""
-    top = table(spark, sf_dir, "customer").select("c_name", text.natural_key(F.col("c_name")).alias("k")).orderBy("k", "c_name").limit(200)
-    return top.select("c_name", F.row_number().over(Window.orderBy("k", "c_name")).alias("place"))
+    """Every name's place as people sort them."""
+    keyed = table(spark, sf_dir, "customer").select("c_name", text.natural_key(F.col("c_name")).alias("k"))
+    return numbering.numbered(keyed, [F.col("k"), F.col("c_name")], "at").select("c_name", (F.col("at") + 1).cast("int").alias("place"))
 
 
 @query("issue_order", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id NULLS FIRST, ts, event_id)::INTEGER AS place FROM events")
 def issue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy(F.asc_nulls_first("user_id"), "ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("place"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts")
+    placed = numbering.numbered_within(rows, ["event_type"], [F.asc_nulls_first("user_id"), F.col("ts"), F.col("event_id")], "at")
+    return placed.select("event_id", (F.col("at") + 1).cast("int").alias("place"))
 
 
 @query("key_union", "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer")
@@ -133,8 +134,8 @@ def digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("claimed_names", "SELECT c_custkey, c_mktsegment, CASE WHEN k = 1 THEN c_mktsegment ELSE c_mktsegment || ' (' || k || ')' END AS target FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer)")
 def claimed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first claimant keeps a name; later ones get a number."""
-    k = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", k.alias("k"))
+    rows = numbering.numbered_within(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], [F.col("c_custkey")], "at")
+    rows = rows.withColumn("k", F.col("at") + 1)
     target = F.when(F.col("k") == 1, F.col("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit(" ("), F.col("k").cast("string"), F.lit(")")))
     return rows.select("c_custkey", "c_mktsegment", target.alias("target"))
 

@@ -10,11 +10,11 @@ from sheaf.plans.registry import query
 from sheaf.session import table
 
 _BOXES = """b AS (SELECT l_suppkey AS page, l_orderkey * 8 + l_linenumber AS box, l_partkey % 200 AS x0, l_partkey % 200 + 5 + l_linenumber AS x1,
-l_orderkey % 300 AS y0, l_orderkey % 300 + l_quantity::BIGINT % 20 + 1 AS y1 FROM lineitem WHERE l_linenumber <= 2)"""
+l_orderkey % 300 AS y0, l_orderkey % 300 + l_quantity::BIGINT % 20 + 1 AS y1 FROM lineitem)"""
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    rows = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_partkey") % 200, F.col("l_orderkey") % 300
     return rows.select(
         F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("box"), x.alias("x0"), (x + 5 + F.col("l_linenumber")).alias("x1"),
@@ -47,29 +47,30 @@ def legibility_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "crossing_join",
-    """WITH h AS (SELECT l_suppkey AS page, l_orderkey AS h, l_orderkey % 100 AS y, l_partkey % 100 AS x0, l_partkey % 100 + 10 AS x1 FROM lineitem WHERE l_linenumber = 1),
-v AS (SELECT l_suppkey AS page, l_orderkey AS v, l_partkey % 100 AS x, l_orderkey % 100 AS y0, l_orderkey % 100 + 15 AS y1 FROM lineitem WHERE l_linenumber = 2)
+    """WITH h AS (SELECT l_suppkey AS page, l_orderkey AS h, l_orderkey % 100 AS y, l_partkey % 100 AS x0, l_partkey % 100 + 10 AS x1 FROM lineitem WHERE l_linenumber % 2 = 1),
+v AS (SELECT l_suppkey AS page, l_orderkey AS v, l_partkey % 100 AS x, l_orderkey % 100 AS y0, l_orderkey % 100 + 15 AS y1 FROM lineitem WHERE l_linenumber % 2 = 0)
 SELECT h.page, h, v FROM h JOIN v ON h.page = v.page AND x BETWEEN x0 - 1 AND x1 + 1 AND y BETWEEN y0 - 1 AND y1 + 1""",
 )
 def crossing_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd lines are horizontal, even ones vertical: every row takes part."""
     rows = table(spark, sf_dir, "lineitem")
     page, x, y = F.col("l_suppkey").alias("page"), F.col("l_partkey") % 100, F.col("l_orderkey") % 100
-    h = rows.filter("l_linenumber = 1").select(page, F.col("l_orderkey").alias("h"), y.alias("y"), x.alias("x0"), (x + 10).alias("x1"))
-    v = rows.filter("l_linenumber = 2").select(page, F.col("l_orderkey").alias("v"), x.alias("x"), y.alias("y0"), (y + 15).alias("y1"))
+    h = rows.filter("l_linenumber % 2 = 1").select(page, F.col("l_orderkey").alias("h"), y.alias("y"), x.alias("x0"), (x + 10).alias("x1"))
+    v = rows.filter("l_linenumber % 2 = 0").select(page, F.col("l_orderkey").alias("v"), x.alias("x"), y.alias("y0"), (y + 15).alias("y1"))
     return geometry.crossing(h, v, page="page", cell=20.0, tolerance=1.0)
 
 
 @query(
     "covered_area",
-    f"""WITH {_BOXES}, d AS (SELECT page, box, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM b WHERE box % 8 = 1 GROUP BY ALL), z AS (SELECT page, x0, x1, y0, y1 FROM b WHERE box % 8 = 2)
+    f"""WITH {_BOXES}, d AS (SELECT page, box, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM b WHERE box % 2 = 1 GROUP BY ALL), z AS (SELECT page, x0, x1, y0, y1 FROM b WHERE box % 2 = 0)
 SELECT d.page, d.box, round(least(1, coalesce(sum(greatest(0, least(d.x1, z.x1) - greatest(d.x0, z.x0)) * greatest(0, least(d.y1, z.y1) - greatest(d.y0, z.y0))), 0) / any_value((d.x1 - d.x0) * (d.y1 - d.y0))), 9)::DOUBLE AS share
 FROM d LEFT JOIN (SELECT DISTINCT * FROM z) z ON d.page = z.page GROUP BY d.page, d.box""",
 )
 def covered_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each first line's box the second lines' boxes cover."""
+    """How much of each odd line's box the even lines' boxes cover."""
     every = _boxes(spark, sf_dir)
-    boxes = every.filter("box % 8 = 1").groupBy("page", "box").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    zones = every.filter("box % 8 = 2").select("page", "x0", "x1", "y0", "y1").distinct()
+    boxes = every.filter("box % 2 = 1").groupBy("page", "box").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    zones = every.filter("box % 2 = 0").select("page", "x0", "x1", "y0", "y1").distinct()
     return geometry.covered_share(boxes, zones, page="page", box="box", cell=25.0).withColumn("share", F.round("share", 9))
 
 

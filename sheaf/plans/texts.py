@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.functions import text
+from sheaf.functions import spans, text
 from sheaf.plans.registry import query
 from sheaf.session import table
 
-#: Function words and letters that speak for a language.
+#: Words and letters that speak for a language, and spellings that speak for British English.
 PROBE_WORDS = {
-    "en": "the and of to is that for with was are this from",
-    "de": "der die und das ist nicht mit den von sich auf eine",
-    "fr": "le la les des et est une que dans pour pas qui",
-    "es": "el la los las que del una con por para su se",
+    "en": "the and of to in is that for with on was are this from have they their not you we",
+    "de": "der die das und den dem des ein eine nicht ist von mit auf für sich auch oder nach bei aus dass wir",
+    "fr": "les des une est pas qui dans pour sur avec sont cette aux nous vous elle mais leur plus",
+    "es": "los las una por con para del está están también porque cuando sobre entre hay muy esto pero como sus",
+    "ru": "не что это как все она его для если или уже только когда чтобы можно был была они этот есть",
+    "uk": "що як це від але або вже їх також між під його цей якщо немає які який вони була тільки",
 }
-PROBE_LETTERS = {"de": "äöüß", "fr": "àâçèêëîïôœùû", "es": "ñ¿¡áíóú"}
+PROBE_LETTERS = {"de": "äöüß", "fr": "çœàèêëâîïôùûÿ", "es": "ñáíóú¿¡", "ru": "ыэё", "uk": "іїєґ"}
+BRITISH = "colour colours favour honour organise organised organisation whilst amongst centre theatre grey defence practise"
 FIRST_WORDS, WORD_POINTS, LETTER_POINTS = 400, 2, 3
 
 
@@ -68,42 +71,54 @@ def replace_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(text.replace_word(F.col("text"), "the", "THE")).alias("changed"))
 
 
-def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, code, score) of each language, from the first words of a text (that is the vote's definition)."""
-    words = _docs(spark, sf_dir).select("doc_id", F.slice(text.lower_words(F.col("text")), 1, FIRST_WORDS).alias("words"))
+def _scores(words: Column) -> Column:
+    """(score, minus the place in the list, code) of each language: the greatest comes first, then the earlier."""
 
-    def score(code: str):
-        points = F.size(F.filter("words", lambda w: w.isin(PROBE_WORDS[code].split()))) * WORD_POINTS
+    def score(place: int, code: str) -> Column:
+        points = F.size(F.filter(words, lambda w: w.isin(PROBE_WORDS[code].split()))) * WORD_POINTS
         if code in PROBE_LETTERS:
-            points = points + F.size(F.filter("words", lambda w: F.regexp_like(w, F.lit(f"[{PROBE_LETTERS[code]}]")))) * LETTER_POINTS
-        return F.struct(F.lit(code).alias("code"), points.alias("score"))
+            points = points + F.size(F.filter(words, lambda w: F.regexp_like(w, F.lit(f"[{PROBE_LETTERS[code]}]")))) * LETTER_POINTS
+        return F.struct(points.alias("score"), F.lit(-place).alias("place"), F.lit(code).alias("code"))
 
-    return words.select("doc_id", F.explode(F.array(*[score(c) for c in PROBE_WORDS])).alias("v")).select("doc_id", "v.code", "v.score")
+    return F.sort_array(F.array(*[score(i, c) for i, c in enumerate(PROBE_WORDS)]), asc=False)
 
 
-def _pick(votes: DataFrame, least: int, lead: int) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "code")
-    top = votes.select("*", F.row_number().over(w).alias("k"), F.lead("score").over(w).alias("second")).filter("k = 1")
-    sure = (F.col("score") >= least) & (F.col("score") >= F.col("second") + lead)
-    return top.select("doc_id", F.when(sure, F.col("code")).alias("lang"), F.col("score").alias("best"))
+def _language(spark: SparkSession, sf_dir: str, least: int, lead: int) -> DataFrame:
+    """A vote of the first words (that is its definition), within the row: nothing is exploded or shuffled."""
+    head = F.regexp_extract("text", rf"^(?:[^\p{{L}}\p{{N}}_]*[\p{{L}}\p{{N}}_]+){{0,{FIRST_WORDS}}}", 0)
 
+    def vote(words: Column) -> Column:
+        british = F.size(F.filter(words, lambda w: w.isin(BRITISH.split())))
 
-_VOTES_SQL = "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:400] AS ws FROM documents), v AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, '{c}' AS code, (len(list_filter(ws, lambda x: list_contains({PROBE_WORDS[c].split()}, x))) * 2"
+        def pick(scores: Column) -> Column:
+            best, second = scores[0], scores[1]["score"]
+            code = F.when((best["code"] == "en") & (british >= 2), "en-GB").otherwise(best["code"])
+            sure = (best["score"] >= least) & (best["score"] >= second + lead)
+            return F.struct(F.when(sure, code).alias("lang"), best["score"].alias("best"))
+
+        return spans.let(_scores(words), pick)
+
+    planted = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("The colour of the theatre is grey. "), "text")).otherwise(F.col("text"))
+    rows = _docs(spark, sf_dir).select("doc_id", planted.alias("text"))
+    return rows.select("doc_id", spans.let(text.lower_words(head), vote).alias("v")).select("doc_id", "v.lang", "v.best")
+
+
+_VOTES_SQL = "WITH w AS (SELECT doc_id, regexp_extract_all(lower(CASE WHEN doc_id % 4 = 0 THEN 'The colour of the theatre is grey. ' ELSE '' END || text), '[\\p{L}\\p{N}_]+')[1:400] AS ws FROM documents), v AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{c}' AS code, {i} AS place, len(list_filter(ws, lambda x: list_contains({BRITISH.split()}, x))) AS british, (len(list_filter(ws, lambda x: list_contains({PROBE_WORDS[c].split()}, x))) * 2"
     + (f" + len(list_filter(ws, lambda x: regexp_matches(x, '[{PROBE_LETTERS[c]}]'))) * 3" if c in PROBE_LETTERS else "")
     + ")::INTEGER AS score FROM w"
-    for c in PROBE_WORDS
-) + "), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code) AS k, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, code) AS second FROM v) SELECT doc_id, CASE WHEN score >= {least} AND score >= second + {lead} THEN code END AS lang, score AS best FROM r WHERE k = 1"
+    for i, c in enumerate(PROBE_WORDS)
+) + "), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS k, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS second FROM v) SELECT doc_id, CASE WHEN score >= {least} AND score >= second + {lead} THEN CASE WHEN code = 'en' AND british >= 2 THEN 'en-GB' ELSE code END END AS lang, score AS best FROM r WHERE k = 1"
 
 
 @query("lang_detect", _VOTES_SQL.replace("{least}", "6").replace("{lead}", "4"))
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pick(_votes(spark, sf_dir), 6, 4)
+    return _language(spark, sf_dir, 6, 4)
 
 
 @query("lang_hint", _VOTES_SQL.replace("{least}", "2").replace("{lead}", "1"))
 def lang_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pick(_votes(spark, sf_dir), 2, 1)
+    return _language(spark, sf_dir, 2, 1)
 
 
 @query("word_scripts", r"SELECT script, count(*)::BIGINT AS n FROM (SELECT CASE WHEN regexp_matches(w, '^[A-Za-zÀ-ɏ]+$') THEN 'latin' WHEN regexp_matches(w, '^[Ѐ-ӿ]+$') THEN 'cyrillic' END AS script FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents)) GROUP BY script")

@@ -11,6 +11,10 @@ from sheaf.plans import catalogue
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that SQL can't express, tested on fixtures in test_fixtures.py.
+WITHOUT_SQL = {"tolerance_cluster", "list_counters", "html_text", "html_outline", "html_table_grid", "html_elements", "spell_suggest", "lcs_diff", "box_clusters", "joined_fragments"}
+
+
 @pytest.fixture(scope="module")
 def db(sf_dir):
     con = duckdb.connect()
@@ -34,8 +38,8 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
 def test_query(spark, sf_dir, db, name):
     got = catalogue.queries()[name](spark, sf_dir).toPandas()
     sql = catalogue.oracle_sql().get(name)
-    if sql is None:
-        assert list(got.columns)
+    if sql is None:  # each of these has a test of its own
+        assert name in WITHOUT_SQL and list(got.columns)
         return
     want = db.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread (operator 4).
 
-A line's key is the MD5 of its text without surrounding spaces.  One aggregation per key merges
+A line's key is the MD5 of its text without surrounding blanks (spaces, tabs, carriage returns).  One aggregation per key merges
 HyperLogLog sketches of the sites (sources) that show it.  Keys whose estimate is clearly over
 ``min_sites`` are boilerplate; those near it get an exact distinct count.  The first place of a
 boilerplate line (least doc_id, then line) keeps it; every other place loses it.
@@ -24,6 +24,7 @@ from sheaf.llm.common import free_names, scratch, stored, text_or_empty
 
 MIN_SITES = 5
 MIN_CHARS = 12
+BLANKS = " \t\r\x0b\x0c"
 SKETCH_K = 8  # log2 of the sketch's buckets: a standard error of 6.5 %
 BAND = 0.25  # relative distance from the threshold within which counts are made exact
 
@@ -39,7 +40,7 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS, *, id_col: str = "do
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("site"),
         F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("at", "line"),
     )
-    trimmed = rows.withColumn("line", F.trim("line"))
+    trimmed = rows.withColumn("line", F.trim("line", F.lit(BLANKS)))
     return trimmed.filter(F.length("line") >= min_chars).select("doc", "text_key", "site", "at", F.unhex(F.md5("line")).alias("key"))
 
 

@@ -336,16 +336,18 @@ def test_flight_keeps_totals():
 
 def test_lines_match_brute_force(spark, docs):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()] + [(10**6 + i, f"own line number {i}\n shared by many sites \nshort", f"site{i % 7}") for i in range(30)]
+    rows += [(10**6 + 50 + i, f"three ways to end this line{e}\nrest {i}", f"end{i}") for i, e in enumerate(("", "\r", "\t", " ", "\r", ""))]
     rows += [(10**7, None, None), (10**7 + 1, "shared by many sites", None), (10**7 + 1, "shared by many sites", None), (10**7 + 2, "", "s")]
     sites, first = collections.defaultdict(set), {}
     for i, t, s in rows:
         for k, line in enumerate((t or "").split("\n")):
-            if len(line.strip(" ")) >= lines.MIN_CHARS:
-                sites[line.strip(" ")].add(s or "")
-                first[line.strip(" ")] = min(first.get(line.strip(" "), (i, k)), (i, k))
+            line = line.strip(" \t\r\v\f")
+            if len(line) >= lines.MIN_CHARS:
+                sites[line].add(s or "")
+                first[line] = min(first.get(line, (i, k)), (i, k))
     want = []
     for i, t, _ in rows:
-        keep = [x for k, x in enumerate((t or "").split("\n")) if len(sites.get(x.strip(" "), ())) < lines.MIN_SITES or first[x.strip(" ")] == (i, k)]
+        keep = [x for k, x in enumerate((t or "").split("\n")) if len(sites.get(x.strip(" \t\r\v\f"), ())) < lines.MIN_SITES or first[x.strip(" \t\r\v\f")] == (i, k)]
         want.append((i, None if t is None else "\n".join(keep)))
     got = lines.dedup(documents(spark, rows))
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
@@ -586,6 +588,18 @@ def test_registered_queries(spark, sf_dir):
     assert set(queries.oracle_sql()) <= set(names)
 
 
+@pytest.mark.parametrize("name", ["op2_secret_scans", "op4_line_dedup"])
+def test_rows_match_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want, got = con.sql(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, sf_dir).toPandas()
+    assert sorted(want.columns) == sorted(got.columns)
+    columns = sorted(want.columns)
+    assert sorted(map(tuple, got[columns].values.tolist()), key=str) == sorted(map(tuple, want[columns].values.tolist()), key=str)
+
+
 def test_top_k_sql(spark, sf_dir):
     import duckdb
 

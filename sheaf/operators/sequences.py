@@ -109,12 +109,11 @@ def mean_clusters(rows: DataFrame, value: str, key: str, tolerance: float) -> Da
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         out: list[list[float]] = []
         for v, n in group.sort_values(value)[[value, "n"]].itertuples(index=False):
-            for _ in range(int(n)):
-                if out and v - out[-1][0] <= tolerance:
-                    mean, many = out[-1]
-                    out[-1] = [(mean * many + v) / (many + 1), many + 1]
-                else:
-                    out.append([float(v), 1])
+            if out and v - out[-1][0] <= tolerance:  # then for its repeats too, as the mean only comes nearer
+                mean, many = out[-1]
+                out[-1] = [(mean * many + v * n) / (many + n), many + n]
+            else:
+                out.append([float(v), n])
         return pd.DataFrame({key: group[key].iloc[0], "centre": [m for m, _ in out], "n": [int(n) for _, n in out]})
 
     kind = rows.schema[key].dataType.simpleString()

@@ -25,9 +25,15 @@ def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.outline(table(spark, sf_dir, "pages"))
 
 
-@query("html_table_grid")
+@query(
+    "html_table_grid",
+    """SELECT page_id AS page, 0 AS "table", r AS "row", c AS "column", s AS colspan, CASE WHEN t = 'key' THEN page_id::VARCHAR ELSE t END AS text
+FROM pages, (VALUES (0, 0, 1, 'one & two'), (0, 1, 2, 'key'), (1, 0, 1, ''), (1, 1, 1, 'b'), (1, 2, 1, 'c')) x(r, c, s, t)""",
+)
 def html_table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.grids(table(spark, sf_dir, "pages"))
+    """The cells of a table put before every page, as the supplied pages have none."""
+    before = F.concat(F.lit("<table><tr><th>one &amp; <b>two</b><td colspan='2'>"), F.col("page_id").cast("string"), F.lit("</tr><tr><td></td><td>b</td><td>c</table>"))
+    return html.grids(table(spark, sf_dir, "pages").select("page_id", F.concat(before, F.col("html")).alias("html")))
 
 
 @query("html_elements")

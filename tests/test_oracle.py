@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries that SQL can't express, tested on fixtures in test_fixtures.py.
-WITHOUT_SQL = {"tolerance_cluster", "list_counters", "html_text", "html_outline", "html_table_grid", "html_elements", "spell_suggest", "lcs_diff", "box_clusters", "joined_fragments"}
+WITHOUT_SQL = {"tolerance_cluster", "list_counters", "html_text", "html_outline", "html_elements", "spell_suggest", "lcs_diff", "box_clusters", "joined_fragments"}
 
 
 @pytest.fixture(scope="module")

@@ -15,7 +15,11 @@ From a sample of at most ``SAMPLE`` labelled documents (least hash of the id fir
 4. A logistic classifier on the entries' presence and the patterns is trained on the posteriors.
 
 Scoring is linear in what a text holds and runs over every whole text in the task that reads it;
-a word's entries are looked up once per worker.  The model is bounded (``ENTRIES``).
+a word's entries are looked up once per worker.
+
+The sample and the model are bounded, whatever the size of the corpus: ``ENTRIES`` weights (some 30 KB sent
+to each task), and ``VOTERS`` lexicon voters, as the label model's correlations grow with their square and
+add little beyond those that cover the sample.  Every entry, voter or not, has a weight in the classifier.
 
 Defined cases: a null text is empty, and an empty text scores as one without entries; several
 labels count as toxic if one says so, null labels do not count; without labels of both kinds

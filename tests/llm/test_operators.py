@@ -455,6 +455,9 @@ def test_held_out_accuracy(spark, module, label, least):
     both = labels.toPandas().merge(got, on="doc_id")
     apart = both[both["held_out"]]
     assert (apart[label] == apart["predicted"]).mean() >= least
+    hits = int(((apart[label] == 1) & (apart["predicted"] == 1)).sum())
+    assert hits >= 0.7 * int((apart[label] == 1).sum()) > 0  # recall, which always 0 fails
+    assert hits >= 0.8 * int((apart["predicted"] == 1).sum()) > 0  # precision, which always 1 fails
     assert module.score(documents(spark, []), model).count() == 0
     none = labels.filter("doc_id < 0")
     assert module.train(docs, none) is None

@@ -455,15 +455,22 @@ def test_held_out_accuracy(spark, module, label, least):
     both = labels.toPandas().merge(got, on="doc_id")
     apart = both[both["held_out"]]
     assert (apart[label] == apart["predicted"]).mean() >= least
-    hits = int(((apart[label] == 1) & (apart["predicted"] == 1)).sum())
-    assert hits >= 0.7 * int((apart[label] == 1).sum()) > 0  # recall, which always 0 fails
-    assert hits >= 0.8 * int((apart["predicted"] == 1).sum()) > 0  # precision, which always 1 fails
     assert module.score(documents(spark, []), model).count() == 0
     none = labels.filter("doc_id < 0")
     assert module.train(docs, none) is None
     assert module.score(docs, None).select("score").distinct().count() == 1
 
 
+def test_toxicity_recall_and_precision(spark):
+    """On the held-out fold of sf0.1, which always 0 or always 1 fails; sf0.01 holds 14 toxic documents there, too few to tell."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).filter("held_out").join(labels, "doc_id").select("toxic", "predicted").toPandas()
+    hits, real, said = int((got["toxic"] & got["predicted"]).sum()), int(got["toxic"].sum()), int(got["predicted"].sum())
+    assert hits >= 0.8 * real > 0, (hits, real)
+    assert hits >= 0.9 * said > 0, (hits, said)
+
+
 def test_toxicity_learns_shouting_and_calls(spark):
     rng = np.random.RandomState(6)
     rows = []

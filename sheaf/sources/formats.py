@@ -6,6 +6,7 @@ Input is a frame with ``path`` and ``content`` (Spark's ``binaryFile`` reader, o
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import struct
 import tarfile
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 
 MOST_EVENTS, MOST_DEPTH = 8_000_000, 256
 MOST_SERIES, MOST_POINTS = 256, 4096
+ROWS = 8192  # a frame, however many rows a file has
 
 
 def each(files: DataFrame, parse: Callable[[bytes], Iterable[tuple]], columns: dict[str, str]) -> DataFrame:
@@ -25,9 +27,10 @@ def each(files: DataFrame, parse: Callable[[bytes], Iterable[tuple]], columns: d
     names = ["path", *columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(path, *row) for row in parse(content)], columns=names)
+        files = ((path, content) for batch in batches for path, content in zip(batch["path"], batch["content"], strict=True))
+        rows = ((path, *row) for path, content in files for row in parse(content))
+        while some := list(itertools.islice(rows, ROWS)):
+            yield pd.DataFrame(some, columns=names)
 
     return files.select("path", "content").mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in {"path": "string", **columns}.items()))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import itertools
+import math
 import re
 import struct
 import tarfile
@@ -169,6 +170,95 @@ def image_size(content: bytes) -> list[tuple]:
 IMAGE_SIZE = {"format": "string", "width": "int", "height": "int"}
 
 
+#: Tags of the camera's directories, and the sizes of their types.
+_TAGS = {"make": 271, "model": 272, "software": 305, "changed": 306, "orientation": 274, "exif": 34665, "gps": 34853, "taken": 36867, "lens": 42036, "iso": 34855, "exposure": 33434, "aperture": 33437, "focal": 37386}
+_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
+_TAKEN = re.compile(r"([0-9]{4}):([0-9]{2}):([0-9]{2}) ([0-9]{2}:[0-9]{2}:[0-9]{2})")
+
+
+def _tiff(content: bytes) -> bytes | None:
+    """The directories of a picture: a TIFF file, or what a JPEG or PNG holds of one."""
+    if content[:4] in (b"II*\0", b"MM\0*"):
+        return content
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(content):
+            size = int.from_bytes(content[at : at + 4], "big")
+            if content[at + 4 : at + 8] == b"eXIf":
+                return content[at + 8 : at + 8 + size]
+            at += size + 12
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
+        size = int.from_bytes(content[at + 2 : at + 4], "big")
+        if content[at + 1] == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0":
+            return content[at + 10 : at + 2 + size]
+        at += 2 + max(size, 2)
+    return None
+
+
+def exif(content: bytes) -> list[tuple]:
+    """(make, model, lens, taken, exposure, aperture, iso, focal_length, software, orientation, has_gps); no row without
+    directories that can be read."""
+    data = _tiff(content)
+    if data is None or data[:4] not in (b"II*\0", b"MM\0*"):
+        return []
+    end = "<" if data[:1] == b"I" else ">"
+
+    def directory(at: int) -> dict[int, tuple[int, bytes]] | None:
+        if at + 2 > len(data):
+            return None
+        found = {}
+        for k in range(struct.unpack_from(end + "H", data, at)[0]):
+            place = at + 2 + 12 * k
+            if place + 12 > len(data):
+                return None
+            tag, kind, count = struct.unpack_from(end + "HHI", data, place)
+            size = _SIZES.get(kind, 0) * count
+            start = place + 8 if size <= 4 else struct.unpack_from(end + "I", data, place + 8)[0]
+            if start + size <= len(data):
+                found.setdefault(tag, (kind, data[start : start + size]))
+        return found
+
+    def text(entries: dict, name: str) -> str | None:
+        kind, raw = entries.get(_TAGS[name], (0, b""))
+        return (raw.split(b"\0")[0].decode("utf-8", "replace").strip() or None) if kind == 2 else None
+
+    def number(entries: dict, name: str) -> int | None:
+        kind, raw = entries.get(_TAGS[name], (0, b""))
+        form = {1: "B", 3: "H", 4: "I"}.get(kind)
+        return struct.unpack_from(end + form, raw)[0] if form and len(raw) >= _SIZES[kind] else None
+
+    def ratio(entries: dict, name: str) -> tuple[int, int] | None:
+        kind, raw = entries.get(_TAGS[name], (0, b""))
+        return struct.unpack_from(end + ("ii" if kind == 10 else "II"), raw) if kind in (5, 10) and len(raw) >= 8 else None
+
+    def short(value: float) -> str:
+        return f"{value:.1f}".removesuffix(".0")
+
+    def moment(said: str | None) -> str | None:
+        m = _TAKEN.match(said or "")
+        return f"{m[1]}-{m[2]}-{m[3]} {m[4]}" if m else None
+
+    main = directory(struct.unpack_from(end + "I", data, 4)[0]) if len(data) >= 8 else None
+    if main is None:
+        return []
+    at = number(main, "exif")
+    more = (directory(at) if at is not None else None) or {}
+    exposed, opened, focal = (ratio(more, n) for n in ("exposure", "aperture", "focal"))
+    seconds = exposed[0] / exposed[1] if exposed and exposed[0] > 0 and exposed[1] > 0 else None
+    turned = number(main, "orientation")
+    return [(
+        text(main, "make"), text(main, "model"), text(more, "lens"), moment(text(more, "taken")) or moment(text(main, "changed")),
+        None if seconds is None else f"{short(seconds)} s" if seconds >= 1 else f"1/{short(math.floor(1 / seconds + 0.5))} s",
+        f"f/{short(opened[0] / opened[1])}" if opened and opened[1] > 0 else None, number(more, "iso"),
+        f"{short(focal[0] / focal[1])} mm" if focal and focal[1] > 0 else None, text(main, "software"),
+        turned if turned is not None and 1 <= turned <= 8 else 1, _TAGS["gps"] in main,
+    )]
+
+
+EXIF = {"make": "string", "model": "string", "lens": "string", "taken": "string", "exposure": "string", "aperture": "string", "iso": "long", "focal_length": "string", "software": "string", "orientation": "int", "has_gps": "boolean"}
+
+
 def tar_members(content: bytes) -> list[tuple]:
     """(name, is_dir, size, modified) of a tape archive, packed or not."""
     with tarfile.open(fileobj=io.BytesIO(content)) as t:

@@ -258,11 +258,30 @@ def _crossing(cell: pa.Table) -> pa.Table:
     elements = [np.frombuffer(x, np.uint32) for x in cell.column("elements").to_pylist()]
     band, first, last = (cell.column(k)[0].as_py() for k in ("band", "first", "last"))
     left, right = np.flatnonzero(own == first), np.flatnonzero(own == last)
+    # every node's different shingles as places in the cell's list of them, with their share of the node's weight
+    sets, counts = zip(*(np.unique(x, return_counts=True) for x in elements), strict=True)
+    sizes = np.array([len(x) for x in sets])
+    repeats = sizes < np.array([len(x) for x in elements])
+    every, places = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(places, np.cumsum(sizes)[:-1])
+    weights = [n / n.sum() for n in counts]
+    weight = np.zeros(len(every))
     found = []
     for k in left:
         to = right[(root[right] != root[k]) & ((right > k) | (first != last))]
         shares = agreement(agree[to], agree[k])
-        for j in to[np.argsort(-shares, kind="stable")][: int((shares >= ESTIMATE).sum())]:
+        to = to[np.argsort(-shares, kind="stable")][: int((shares >= ESTIMATE).sum())]
+        if not len(to):
+            continue
+        weight[places[k]] = weights[k]
+        met, starts = weight[np.concatenate([places[j] for j in to])], np.cumsum(sizes[to]) - sizes[to]
+        weight[places[k]] = 0
+        shared = np.add.reduceat(met > 0, starts, dtype=np.int64)
+        plain = shared / (sizes[k] + sizes[to] - shared)
+        # probability Jaccard is at most the overlap of the weights, and plain Jaccard where no shingle repeats
+        most = np.add.reduceat(np.minimum(met, np.concatenate([weights[j] for j in to])), starts) + 1e-9
+        may = (plain >= SIMILARITY) | ((repeats[k] | repeats[to]) & (most >= SIMILARITY))
+        for j in to[may]:
             if root[j] == root[k] or np.intersect1d(keys[k], keys[j], assume_unique=True)[0] != band:
                 continue
             value = similarity(elements[k], elements[j])

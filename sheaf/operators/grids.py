@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOOK_BACK = 4  # lines that a fragment may still belong to
 SAME_BASELINE, SAME_SIZE = 0.1, 0.2  # of the size
 WIDEST_GAP, MARKER_GAP, OVERLAP = 2.5, 0.5, -0.5  # of the size, of the size, in points
+LINES = pa.schema([("page", pa.int64()), ("line", pa.int32()), *((c, pa.float64()) for c in ("x", "baseline", "size", "width")), ("text", pa.string())])
 _MARKER = re.compile(r"^(?:[•‣▪●◦–*-]|(?:[0-9]{1,3}|[A-Za-z]|[ivxlcdmIVXLCDM]{1,5})[.)])$")
 
 
@@ -45,43 +47,70 @@ def split(cells: DataFrame) -> DataFrame:
     return parts.select("grid", (F.col("row") + down).alias("row"), (F.col("col") + along).alias("col"), F.lit(1).alias("height"), F.lit(1).alias("width"), text.alias("text"))
 
 
-def _page_lines(page: pd.DataFrame) -> pd.DataFrame:
-    """One page's fragments as lines; the page is the bound of what a task holds."""
-    rows: list[list] = []
-    for piece in page.sort_values("ord", kind="stable").itertuples(index=False):
-        for row in rows[: -LOOK_BACK - 1 : -1]:
-            size = max(row[0].size, piece.size)
-            if abs(row[0].baseline - piece.baseline) < SAME_BASELINE * size and abs(row[0].size - piece.size) < SAME_SIZE * size:
-                row.append(piece)
-                break
-        else:
-            rows.append([piece])
-    out = []
+def _row_lines(row: list[list]) -> Iterator[tuple]:
+    """One row's fragments (x, baseline, size, width, text) as lines, from left to right; the row is the bound of what a task holds."""
+    row.sort(key=lambda p: (p[0] != p[0], p[0]))
+    begin, parts = None, []
+    for x, baseline, size, width, text in row:
+        if begin is not None:
+            if marker and not text.strip():
+                continue
+            gap = x - (begin + reach)
+            apart = marker and gap >= MARKER_GAP * first
+            if not apart and OVERLAP < gap <= WIDEST_GAP * max(first, size):
+                parts.append(text if spaced or text.startswith(" ") else " " + text)
+                spaced = not parts[-1] or parts[-1].endswith(" ")
+                reach, marker = max(x + width - begin, reach), False
+                continue
+            yield begin, level, first, reach, "".join(parts)
+        begin, level, first, reach, parts = x, baseline, size, width, [text]
+        spaced, marker = text.endswith(" "), bool(_MARKER.match(text))
+    yield begin, level, first, reach, "".join(parts)
+
+
+def _page_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fragments ordered by page and place as lines; only the last rows of one page stay open."""
+    page, rows, number, out = None, [], 0, []
+
+    def close(row: list[list]) -> None:
+        nonlocal number
+        for line in _row_lines(row):
+            out.append((page, number, *line))
+            number += 1
+
+    def told() -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * len(LINES)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, LINES, strict=True)], schema=LINES)
+
+    for batch in batches:
+        measures = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(1, 5)]
+        for at, *piece in zip(batch.column(0).to_pylist(), *measures, batch.column(5).to_pylist(), strict=True):
+            if at != page:
+                for row in rows:
+                    close(row)
+                page, rows, number = at, [], 0
+            baseline, size = piece[1], piece[2]
+            for row in reversed(rows):
+                widest = max(row[0][2], size)
+                if abs(row[0][1] - baseline) < SAME_BASELINE * widest and abs(row[0][2] - size) < SAME_SIZE * widest:
+                    row.append(piece)
+                    break
+            else:
+                rows.append([piece])
+                if len(rows) > LOOK_BACK:
+                    close(rows.pop(0))
+        yield told()
+        out.clear()
     for row in rows:
-        line = None
-        for piece in sorted(row, key=lambda p: p.x):
-            if line is not None:
-                marker = bool(_MARKER.match(line["text"]))
-                if marker and not piece.text.strip():
-                    continue
-                end = line["x"] + line["width"]
-                gap = piece.x - end
-                apart = marker and gap >= MARKER_GAP * line["size"]
-                if not apart and OVERLAP < gap <= WIDEST_GAP * max(line["size"], piece.size):
-                    spaced = line["text"].endswith(" ") or piece.text.startswith(" ")
-                    line["text"] += piece.text if spaced else " " + piece.text
-                    line["width"] = max(piece.x + piece.width - line["x"], line["width"])
-                    continue
-                out.append(line)
-            line = {"page": piece.page, "x": piece.x, "baseline": piece.baseline, "size": piece.size, "width": piece.width, "text": piece.text}
-        if line is not None:
-            out.append(line)
-    told = pd.DataFrame(out, columns=["page", "x", "baseline", "size", "width", "text"])
-    told.insert(1, "line", range(len(told)))
-    return told
+        close(row)
+    yield told()
 
 
 def joined_fragments(fragments: DataFrame) -> DataFrame:
-    """(page, line, x, baseline, size, width, text) of ``fragments`` (page, ord, x, baseline, size, width, text): those on
-    one baseline, of one size and not far apart are one line, with a space between; a list's marker stays its own."""
-    return fragments.groupBy("page").applyInPandas(_page_lines, "page long, line int, x double, baseline double, size double, width double, text string")
+    """(page, line, x, baseline, size, width, text) of ``fragments`` (page, ord, x, baseline, size, width, text; null text:
+    empty): those on one baseline, of one size and not far apart are one line, with a space between; a list's marker stays
+    its own.  Fragments of one ``ord`` go by their other columns.  A page passes through one task, which holds its last rows."""
+    measures = [F.col(c).cast("double").alias(c) for c in ("x", "baseline", "size", "width")]
+    pieces = fragments.select(F.col("page").cast("long").alias("page"), "ord", *measures, F.coalesce("text", F.lit("")).alias("text"))
+    placed = pieces.repartition("page").sortWithinPartitions("page", F.asc_nulls_last("ord"), "x", "baseline", "size", "width", "text")
+    return placed.drop("ord").mapInArrow(_page_lines, "page long, line int, x double, baseline double, size double, width double, text string")

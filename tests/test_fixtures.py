@@ -89,6 +89,20 @@ def test_fragments_join_on_a_baseline(spark):
     assert said == [(1, 0, "One line late word"), (1, 1, "tab"), (1, 2, "1."), (1, 3, "item"), (2, 0, "big"), (2, 1, "other size")]
 
 
+def test_fragments_of_many_pages_join_whatever_order_they_come_in(spark):
+    schema = "page long, ord int, x double, baseline double, size double, width double, text string"
+    rows = [(1, 0, 30.0, 5.0, 10.0, 9.0, "c"), (1, 0, 0.0, 90.0, 10.0, 9.0, "z"), (1, 0, 10.0, 5.0, 10.0, 9.0, "a"), (1, 0, 20.0, 5.0, 10.0, 9.0, "b "), (2, 0, 0.0, 5.0, 10.0, 9.0, "x"), (2, 1, 11.0, 5.0, 10.0, 9.0, None)]
+    rows += [(3, k, 0.0, 40.0 * k, 10.0, 9.0, str(k)) for k in range(5)] + [(3, 5, 20.0, 40.0, 10.0, 9.0, "near"), (3, 6, 20.0, 0.0, 10.0, 9.0, "far"), (None, 0, 0.0, 0.0, 10.0, 9.0, "no page")]
+    want = [(None, 0, "no page"), (1, 0, "z"), (1, 1, "a b c"), (2, 0, "x "), (3, 0, "0"), (3, 1, "1 near"), *((3, k, str(k)) for k in (2, 3, 4)), (3, 5, "far")]
+    for some in (rows, rows[::-1]):
+        got = grids.joined_fragments(spark.createDataFrame(some, schema).coalesce(1))
+        assert [(r.page, r.line, r.text) for r in got.orderBy("page", "line").collect()] == want
+    many = spark.range(60000).selectExpr("id div 2 AS page", "CAST(id % 2 AS int) AS ord", "id % 2 * 11D AS x", "0D AS baseline", "10D AS size", "9D AS width", "CAST(id AS string) AS text")
+    got = grids.joined_fragments(many)
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()  # a call for each page takes 2 ms
+    assert got.filter("line = 0 AND text = concat(page * 2, ' ', page * 2 + 1)").count() == got.count() == 30000
+
+
 def test_restored_words(spark):
     lexicon = spark.createDataFrame([("čaša", 5), ("časa", 5), ("šuma", 9), ("žuma", 1), ("đak", 2), ("sat", 7)], "form string, frequency long")
     words = spark.createDataFrame([(w,) for w in ("casa", "Suma", "SUMA", "djak", "sat", "x", "Sata", "S1UMA")], "word string")

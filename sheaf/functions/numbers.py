@@ -147,8 +147,9 @@ def blended(base: Column, top: Column, per_mille: Column) -> Column:
 
 
 def is_dark(hex6: Column) -> Column:
+    """Luminance 0.299 R + 0.587 G + 0.114 B under 128, in whole thousandths: sums of doubles miss 128 by their rounding."""
     c = channels(hex6)
-    return 0.299 * c[0] + 0.587 * c[1] + 0.114 * c[2] < 128
+    return 299 * c[0] + 587 * c[1] + 114 * c[2] < 128000
 
 
 def civil_stamp(text: Column) -> Column:

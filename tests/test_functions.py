@@ -87,6 +87,11 @@ def test_numbers(spark):
     assert value(spark, numbers.is_dark(F.col("t")), t="7f7f7f") is True
 
 
+@pytest.mark.parametrize(("colour", "dark"), [("26b656", False), ("66889b", False), ("fb4d44", False), ("808080", False), ("26b655", True), ("66879b", True), ("000000", True), ("ffffff", False), (None, None)])
+def test_dark_at_its_limit(spark, colour, dark):
+    assert value(spark, numbers.is_dark(F.col("t")), t=colour) is dark  # the first four are 128 exactly
+
+
 def test_chains(spark):
     rows = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x"), ("z", "gone")], "id string, parent string")
     got = {r.node: (r.chain, r.cycle) for r in graph.chains(rows).collect()}
